@@ -9,7 +9,7 @@ shuffle, and never collected whole.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -163,7 +163,9 @@ def topic_membership(docs: DataFrame, key: str = "doc_id", vector: str = "v") ->
     centroids = topic_centroids(docs, vector)
     width = docs.select(F.size(vector)).head()
     per_chunk = max(1, CENTROID_CELLS // max(1, width[0] if width else 1))
-    rows = docs.withColumns({"_sum": F.lit(0.0), "_max": F.lit(0.0)})
+    rows = docs.select(
+        key, F.col("topic").cast("int").alias("topic"), vector, F.lit(0.0).alias("_sum"), F.lit(0.0).alias("_max")
+    )
     chunk: list[list[float]] = []
     for r in centroids.toLocalIterator():
         chunk.append(r.centroid)
@@ -180,26 +182,21 @@ def topic_membership(docs: DataFrame, key: str = "doc_id", vector: str = "v") ->
 def _add_closeness(rows: DataFrame, centroids: list[list[float]], vector: str) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(np.asarray(centroids))
 
-    @F.pandas_udf("struct<s: double, m: double>")
-    def closeness(v: pd.Series) -> pd.DataFrame:
-        x = np.stack(v.to_numpy())
+    def closeness(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
-        total, best = np.zeros(len(x)), np.zeros(len(x))
-        for lo in range(0, len(c), 1024):
-            part = c[lo : lo + 1024]
-            w = np.empty((len(x), len(part)))
-            for at in range(0, len(x), 512):  # differences, not dot products: exact near zero
-                gap = x[at : at + 512, None, :] - part[None, :, :]
-                w[at : at + 512] = 1.0 / (1.0 + np.sqrt((gap * gap).sum(axis=2)))
-            total += w.sum(axis=1)
-            best = np.maximum(best, w.max(axis=1))
-        return pd.DataFrame({"s": total, "m": best})
-
-    return (
-        rows.withColumn("_c", closeness(vector))
-        .withColumns({"_sum": F.col("_sum") + F.col("_c.s"), "_max": F.greatest("_max", "_c.m")})
-        .drop("_c")
-    )
+        for b in batches:
+            x = np.stack(b[vector].to_numpy())
+            total, best = b["_sum"].to_numpy(copy=True), b["_max"].to_numpy(copy=True)
+            for lo in range(0, len(c), 256):
+                part = c[lo : lo + 256]
+                for at in range(0, len(x), 64):  # differences, not dot products: exact near zero
+                    gap = x[at : at + 64, None, :] - part[None, :, :]
+                    w = 1.0 / (1.0 + np.sqrt((gap * gap).sum(axis=2)))
+                    total[at : at + 64] += w.sum(axis=1)
+                    best[at : at + 64] = np.maximum(best[at : at + 64], w.max(axis=1))
+            yield b.assign(_sum=total, _max=best)
+
+    return rows.mapInPandas(closeness, rows.schema)
 
 
 def representative_docs(

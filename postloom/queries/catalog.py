@@ -4,14 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, labels, text, vectors
-from ..operators import dedupe, entities, filters, joins, merge, sampling, segment, spans, stats, topics
-from ..plans import clean
+from ..operators import (
+    classify,
+    dedupe,
+    embed,
+    entities,
+    filters,
+    joins,
+    merge,
+    neighbours,
+    sampling,
+    segment,
+    spans,
+    stats,
+    topics,
+)
+from ..plans import clean, discover
 from ..schema import POST_COLUMNS, STAT_COLUMNS
+from ..session import scratch_path, settle
 from ..sources import files, html
+from ..streaming import jobs
 from . import sql, views
 from .sql import with_views
 
@@ -893,9 +910,7 @@ def _strip_entities(spark, d):
     ),
 )
 def _evaluate_classifier(spark, d):
-    from ..operators.classify import evaluate_classifier
-
-    return evaluate_classifier(views.predictions(spark, d)).select(
+    return classify.evaluate_classifier(views.predictions(spark, d)).select(
         "model_name",
         "des_id",
         *[F.round(f"p_{c}", 6).alias(f"p_{c.lower()}") for c in ("JOB", "CONTEXT", "CONDITIONS")],
@@ -1103,3 +1118,216 @@ def _assign_topics(spark, d):
 def _topic_membership(spark, d):
     docs = views.blobs(spark, d).withColumn("topic", F.when(F.col("id") % 25 == 0, -1).otherwise(F.col("label")))
     return topics.topic_membership(docs, "id").withColumn("probability", F.round("probability", 6))
+
+
+# --- files written and read back -----------------------------------------------------------
+
+
+@query(
+    "read_runs",
+    with_views(
+        """SELECT nullif(SearchTerm, '') AS SearchTerm, nullif(Title, '') AS Title, nullif(Description, '') AS Description,
+             nullif(array_to_string(list_filter(quals, lambda q: q <> ''), ' | '), '') AS Qualifications, nullif(Link, '') AS Link FROM posts""",
+        "posts",
+    ),
+)
+def _read_runs(spark, d):
+    path = scratch_path(spark, "runs")
+    files.write_flat_posts(views.posts(spark, d), path)
+    return files.read_runs(spark, f"{path}/*.csv").select(*POST_COLUMNS)
+
+
+@query("write_run_report", with_views(f"SELECT '20250101_000000' AS run_timestamp, search_term, {', '.join(STAT_COLUMNS)} FROM crawl", "crawl"))
+def _write_run_report(spark, d):
+    path = scratch_path(spark, "report")
+    files.write_run_report(files.run_report(views.crawl(spark, d), "20250101_000000"), path)
+    return files.read_run_reports(spark, path, multi_line=False)
+
+
+@query(
+    "checkpoint_by_term",
+    with_views(
+        """SELECT row_key, SearchTerm, regexp_replace(lower(SearchTerm), '[^a-z0-9]+', '_', 'g') AS term_slug, Link FROM posts""", "posts"
+    ),
+)
+def _checkpoint_by_term(spark, d):
+    path = scratch_path(spark, "terms")
+    files.checkpoint_by_term(views.posts(spark, d).select("row_key", "SearchTerm", "Link"), path)
+    return files.union_parts(spark, path)
+
+
+@query(
+    "save_vectors",
+    with_views("SELECT des_id, par_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first, CAST(len(embedding) AS INT) AS n FROM vectors", "vectors"),
+)
+def _save_vectors(spark, d):
+    path = scratch_path(spark, "vectors")
+    files.save_vectors(views.vectors(spark, d), path)
+    rows = spark.read.parquet(path)
+    return rows.select(
+        "des_id", "par_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.size("embedding").alias("n")
+    )
+
+
+# --- vectors and models ----------------------------------------------------------------------
+
+
+def _labelled(spark, d):
+    texts = views.documents(spark, d).select("doc_id", "text")
+    return texts.join(views.labels3(spark, d), "doc_id")
+
+
+def _trained(spark, d):
+    """Embedder, classifier and the held-out rows of a stratified split."""
+    split = settle(sampling.stratified_split(_labelled(spark, d), "label", "doc_id"))
+    train = split.where(F.col("split") == "train")
+    embedder = embed.fit_embedder(train, "text", features=256)
+    model = classify.train_classifier(embed.embed_text(train, "text", model=embedder))
+    return embedder, model, split.where(F.col("split") == "test")
+
+
+@query("embed_text")
+def _embed_text(spark, d):
+    rows = embed.as_array(embed.embed_text(views.documents(spark, d).select("doc_id", "text"), "text", features=256), out="v")
+    return rows.select("doc_id", F.size("v").alias("dims"), F.round(vectors.l2_norm(F.col("v")), 6).alias("norm"))
+
+
+@query("train_classifier")
+def _train_classifier(spark, d):
+    embedder, model, held_out = _trained(spark, d)
+    scored = classify.score_paragraphs(embed.embed_text(held_out, "text", model=embedder), model)
+    return stats.classification_report(scored.select(F.col("label").alias("true"), "pred"))
+
+
+@query("score_paragraphs")
+def _score_paragraphs(spark, d):
+    embedder, model, _ = _trained(spark, d)
+    scored = classify.score_paragraphs(embed.embed_text(views.paras(spark, d), "text", model=embedder), model)
+    probs = [F.round(c, 6).alias(c) for c in ("prob_job", "prob_blurb_legal", "prob_offer_detail")]
+    return scored.select("des_id", "par_id", *probs, "pred")
+
+
+@query("class_columns")
+def _class_columns(spark, d):
+    # Two known classes, the third is absent and gets zeros.
+    probability = array_to_vector(F.array(F.lit(0.25), F.lit(0.75)))
+    cols = labels.class_columns(F.col("p"), ["Context", "job"])
+    rows = views.paras(spark, d).select("des_id", "par_id", probability.alias("p"))
+    return rows.withColumns(cols).drop("p")
+
+
+@query("save_model")
+def _save_model(spark, d):
+    embedder, model, held_out = _trained(spark, d)
+    path = scratch_path(spark, "model")
+    files.save_model(model, path)
+    scored = classify.score_paragraphs(embed.embed_text(held_out, "text", model=embedder), files.load_model(path))
+    return scored.select("doc_id", "label", "pred")
+
+
+@query("reduce_dims")
+def _reduce_dims(spark, d):
+    rows = views.table(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("embedding"))
+    rows = embed.as_array(embed.reduce_dims(rows), "reduced", "v")
+    return rows.select("vec_id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+
+
+_DIST = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
+
+
+@query(
+    "knn_graph",
+    with_views(
+        f"""SELECT id, rank, neighbour, round(distance, 6) AS distance FROM (SELECT a.id, b.id AS neighbour, {_DIST} AS distance,
+              CAST(row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS INT) AS rank
+            FROM blobs a JOIN blobs b ON a.id <> b.id) WHERE rank <= 15""",
+        "blobs",
+    ),
+)
+def _knn_graph(spark, d):
+    return neighbours.knn_graph(views.blobs(spark, d)).withColumn("distance", F.round("distance", 6))
+
+
+_DENSITY = {
+    "near": f"SELECT a.id, b.id AS other FROM blobs a JOIN blobs b ON a.id <> b.id AND {_DIST} <= 0.1",
+    "core": "SELECT id FROM near GROUP BY id HAVING count(*) >= 15",
+    "link": "SELECT id, other FROM near WHERE id IN (SELECT id FROM core) AND other IN (SELECT id FROM core)",
+    "reach": "SELECT id, id AS root FROM core UNION SELECT l.other, r.root FROM reach r JOIN link l ON l.id = r.id WHERE r.root < l.other",
+    "comp": "SELECT id, min(root) AS component FROM reach GROUP BY id",
+    "big": "SELECT component FROM comp GROUP BY component HAVING count(*) >= 50",
+}
+
+
+@query(
+    "density_cluster",
+    with_views(
+        "SELECT b.id, g.component FROM blobs b LEFT JOIN comp c USING (id) LEFT JOIN big g ON g.component = c.component",
+        "blobs",
+        extra=_DENSITY,
+    ),
+)
+def _density_cluster(spark, d):
+    return neighbours.density_cluster(views.blobs(spark, d))
+
+
+@query("discover_topics")
+def _discover_topics(spark, d):
+    paras = views.paras(spark, d).withColumnRenamed("text", "Description")
+    found = discover.discover_topics(paras, stop_words=views.STOP_WORDS)
+    return found.documents.select(
+        "doc_id", "des_id", "par_id", "topic", "name", F.array_join("words", ",").alias("words"),
+        F.round("probability", 6).alias("probability"), "representative",
+    )
+
+
+@query("discover_post_topics")
+def _discover_post_topics(spark, d):
+    paras = views.paras(spark, d).withColumnRenamed("text", "Description")
+    found = discover.discover_topics(paras, mean=True, stop_words=views.STOP_WORDS)
+    return found.info.select("topic", "count", "name", F.array_join("words", ",").alias("words"))
+
+
+# --- streams -----------------------------------------------------------------------------------
+
+
+def _arrivals(spark, rows: DataFrame, label: str, parts: int = 3) -> DataFrame:
+    """``rows`` as a stream of files that arrive one after the other, by key."""
+    path = scratch_path(spark, label)
+    bounds = rows.agg(F.min("row_key"), F.max("row_key")).head()
+    low, step = bounds[0], (bounds[1] - bounds[0]) // parts + 1
+    for i in range(parts):
+        at = low + i * step
+        rows.where((F.col("row_key") >= at) & (F.col("row_key") < at + step)).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("stream_merge", SQL["merge_by_link"])
+def _stream_merge(spark, d):
+    table = scratch_path(spark, "merged")
+    jobs.stream_merge(_arrivals(spark, views.flat(spark, d), "posts"), table, f"{table}/_progress").awaitTermination()
+    return jobs.read_merged(spark, table)
+
+
+@query("stream_clean", SQL["clean_corpus"])
+def _stream_clean(spark, d):
+    out = scratch_path(spark, "cleaned")
+    src = _arrivals(spark, views.flat(spark, d).select("row_key", "Title", "Description"), "posts")
+    jobs.stream_clean(src, out, f"{out}/_progress", views.rule_scores, views.gazetteer(spark, d)).awaitTermination()
+    return jobs.read_cleaned(spark, out)
+
+
+@query(
+    "stream_crawl_stats",
+    with_views(
+        f"""SELECT coalesce(search_term, 'TOTAL') AS search_term, CAST(grouping(search_term) AS INT) AS is_total,
+             {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in STAT_COLUMNS)} FROM crawl GROUP BY ROLLUP (search_term)""",
+        "crawl",
+    ),
+)
+def _stream_crawl_stats(spark, d):
+    events = views.table(spark, d, "events")
+    src = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    term = F.concat(F.lit("term "), (F.col("user_id") % 6).cast("string")).alias("search_term")
+    out = scratch_path(spark, "counters")
+    jobs.stream_crawl_stats(src.select(term, "event_type"), f"{out}/state", f"{out}/_progress").awaitTermination()
+    return jobs.read_crawl_stats(spark, f"{out}/state")
