@@ -16,12 +16,12 @@ def distinct_by(items: Column, key: Callable[[Column], Column]) -> Column:
         items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))
     )
     firsts = let(
-        F.array_sort(tagged),
+        F.sort_array(tagged),
         lambda t: F.filter(
             t, lambda e, i: (i == 0) | (e["k"] != F.get(t, i - 1)["k"])
         ),
     )
-    by_place = F.array_sort(
+    by_place = F.sort_array(
         F.transform(firsts, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))
     )
     return F.transform(by_place, lambda e: e["x"])

@@ -140,7 +140,7 @@ def _strip_by_join(
     marked = rows.join(salted, ["token", "salt"], "left")
     kept = marked.where(F.col("hit").isNull() | F.col("safe"))
     # A group is the tokens of one text cell.
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "tok")))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "tok")))
     cleaned = kept.groupBy(*keys).agg(
         strip(F.array_join(F.transform(ordered, lambda s: s["tok"]), "")).alias("_clean")
     )

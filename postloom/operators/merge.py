@@ -47,7 +47,7 @@ def first_seen_parts(df: DataFrame, by: str, value: str, order: Sequence[str] =
 
 
 def join_seen_parts(seen: DataFrame, by: str, value: str, sep: str = " | ") -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("seen", "part")))
+    ordered = F.sort_array(F.collect_list(F.struct("seen", "part")))
     return seen.groupBy(by).agg(F.array_join(F.transform(ordered, lambda s: s["part"]), sep).alias(value))
 
 
@@ -59,7 +59,7 @@ def combine_unique_parts(df: DataFrame, by: str, value: str, order: Sequence[str
 
 def unique_sources(df: DataFrame, by: str = "Link", source: str = "source_file") -> DataFrame:
     """The distinct files of every key, in file order."""
-    return df.groupBy(by).agg(F.array_join(F.array_sort(F.collect_set(source)), " | ").alias("sources"))
+    return df.groupBy(by).agg(F.array_join(F.sort_array(F.collect_set(source)), " | ").alias("sources"))
 
 
 def merge_by_link(posts: DataFrame) -> DataFrame:

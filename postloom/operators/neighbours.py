@@ -156,7 +156,7 @@ def _fold_copies(points: DataFrame, k: int) -> DataFrame:
     """
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     few = points.select("id", "v").withColumn("_r", place).where(F.col("_r") <= k + 1)
-    return few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(
+    return few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(
         F.col("ids")[0].alias("rep"), "ids", "v"
     )
 
@@ -299,7 +299,7 @@ def knn_graph(points: DataFrame, k: int = 15, leaf_rows: int = LEAF_ROWS, max_le
     # At most one list of k + 1 entries per leaf asked.
     pairs = F.arrays_zip(F.col("gaps").alias("distance"), F.col("found").alias("neighbour"))
     best = answers.select("rep", pairs.alias("p")).groupBy("rep").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k + 1).alias("p")
+        F.slice(F.sort_array(F.flatten(F.collect_list("p"))), 1, k + 1).alias("p")
     )
     members = _members(points, reps)
     others = F.slice(F.filter("p", lambda e: e["neighbour"] != F.col("id")), 1, k)

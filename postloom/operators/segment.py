@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import (
+    at_most_words,
     count_sentences,
     count_tokens,
     count_words,
@@ -34,8 +35,7 @@ def _indices(items: Column) -> Column:
 
 def is_short_line(line: Column, max_words: int = 3) -> Column:
     """A non-blank line with few words, or one that ends in a colon."""
-    bare = strip(line)
-    return (bare != "") & ((count_words(bare) <= max_words) | bare.endswith(":"))
+    return let(strip(line), lambda bare: at_most_words(bare, max_words) | bare.endswith(":"))
 
 
 def short_line_headers(max_words: int = 3) -> HeaderDetector:
@@ -60,7 +60,7 @@ def segments(lines: Column, detector: HeaderDetector) -> Column:
     """array<struct<text, n_sents>>: from each section start to the next."""
     starts = let(
         detector(lines),
-        lambda found: F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), found))),
+        lambda found: F.sort_array(F.array_distinct(F.concat(F.array(F.lit(0)), found))),
     )
     return let(
         starts,
@@ -258,7 +258,7 @@ def collect_ordered_paragraphs(paras: DataFrame, text: str = "text") -> DataFram
 
     A group is one post, whose text came from a single cell.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("par_id", F.coalesce(strip(F.col(text)), F.lit("")).alias("t"))))
+    ordered = F.sort_array(F.collect_list(F.struct("par_id", F.coalesce(strip(F.col(text)), F.lit("")).alias("t"))))
     kept = F.filter(F.transform(ordered, lambda s: s["t"]), lambda t: t != "")
     return (
         paras.groupBy("des_id")

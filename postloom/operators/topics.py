@@ -34,14 +34,22 @@ def topic_tokens(c: Column, stop_words: Sequence[str]) -> Column:
 
 
 def ngrams(tokens: Column, low: int, high: int) -> Column:
-    def of(toks: Column, n: int) -> Column:
-        last = F.size(toks) - n
-        return F.when(
-            last >= 0,
-            F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(toks, i + 1, n), " ")),
-        ).otherwise(F.array().cast("array<string>"))
+    """All runs of ``low`` to ``high`` tokens, each length built on the one before."""
+
+    def longer(shorter: Column, toks: Column, n: int) -> Column:
+        count = F.greatest(F.size(toks) - (n - 1), F.lit(0))
+        heads, tails = F.slice(shorter, F.lit(1), count), F.slice(toks, F.lit(n), count)
+        return F.zip_with(heads, tails, lambda a, b: F.concat(a, F.lit(" "), b))
+
+    def grow(shorter: Column, toks: Column, n: int) -> Column:
+        if n > high:
+            return F.array().cast("array<string>")
+        return let(
+            longer(shorter, toks, n) if n > 1 else toks,
+            lambda g: F.concat(g, grow(g, toks, n + 1)) if n >= low else grow(g, toks, n + 1),
+        )
 
-    return let(tokens, lambda t: F.concat(*[of(t, n) for n in range(low, high + 1)]))
+    return let(tokens, lambda t: grow(t, t, 1))
 
 
 def document_terms(
@@ -95,7 +103,7 @@ def top_terms(weights: DataFrame, n_words: int = 10) -> DataFrame:
     """(topic, words): the heaviest terms in order."""
     rank = F.row_number().over(Window.partitionBy("topic").orderBy(*_by_weight()))
     best = weights.withColumn("_r", rank).where(F.col("_r") <= n_words)
-    ordered = F.array_sort(F.collect_list(F.struct("_r", "term")))
+    ordered = F.sort_array(F.collect_list(F.struct("_r", "term")))
     return best.groupBy("topic").agg(F.transform(ordered, lambda s: s["term"]).alias("words"))
 
 

@@ -32,7 +32,7 @@ def label_paragraphs(docs: DataFrame, scorer: Scorer, **segment_options) -> Data
 
 def join_paragraphs(paras: DataFrame, text: str = "text", sep: str = "\n\n", out: str = "Description") -> DataFrame:
     """(des_id, text of the post): a group is one post, read from one cell."""
-    ordered = F.array_sort(F.collect_list(F.struct("par_id", F.col(text).alias("t"))))
+    ordered = F.sort_array(F.collect_list(F.struct("par_id", F.col(text).alias("t"))))
     return paras.groupBy("des_id").agg(F.array_join(F.transform(ordered, lambda s: s["t"]), sep).alias(out))
 
 

@@ -143,7 +143,7 @@ def union_parts(spark: SparkSession, path: str) -> DataFrame:
 
 def run_report(stats: DataFrame, run_timestamp: str, log_file: str = "", csv_file: str = "", stats_file: str = "") -> DataFrame:
     """One nested row out of per-term counters (as many as search terms)."""
-    per_term = F.array_sort(F.collect_list(F.struct("search_term", *STAT_COLUMNS)))
+    per_term = F.sort_array(F.collect_list(F.struct("search_term", *STAT_COLUMNS)))
     return stats.agg(
         F.lit(run_timestamp).alias("run_timestamp"),
         F.transform(per_term, lambda s: s["search_term"]).alias("search_terms"),
