@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import clean_qualification, let, strip
 
 
+def explode_once(
+    df: DataFrame, keep: Sequence[str | Column], items: Column, value: str, pos: str = "_pos"
+) -> DataFrame:
+    """(keep, pos, value) per item, with ``items`` computed once.
+
+    A plain explode makes the optimizer test ``size(items) > 0`` beforehand,
+    which computes a costly array twice and below any repartitioning; the
+    outer form does not, and its empty rows are dropped afterwards.
+    """
+    return df.select(*keep, F.posexplode_outer(items).alias(pos, value)).where(F.col(pos).isNotNull())
+
+
 def distinct_by(items: Column, key: Callable[[Column], Column]) -> Column:
     """First item of every key, in the order of first sight (n log n)."""
     tagged = F.transform(

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_once
 from ..functions.text import SPACE_CHARS, TOKEN_AND_BLANK, strip
 
 # text -> array<struct<token, ent>>; token carries its trailing blank
@@ -132,8 +133,9 @@ def _strip_by_join(
         safe = F.transform(cores, lambda t: _in_list(t, single))
     else:
         safe = F.transform(cores, lambda t, i: _protected(cores, i, whitelist))
-    rows = df.select(*keys, F.posexplode(F.arrays_zip(toks.alias("tok"), cores.alias("token"), safe.alias("safe"))))
-    rows = rows.select(*keys, "pos", "col.tok", "col.token", "col.safe").withColumn(
+    zipped = F.arrays_zip(toks.alias("tok"), cores.alias("token"), safe.alias("safe"))
+    rows = explode_once(df, keys, zipped, "t", "pos")
+    rows = rows.select(*keys, "pos", "t.tok", "t.token", "t.safe").withColumn(
         "salt", F.pmod(F.xxhash64(*keys, "pos"), F.lit(_SALTS)).cast("int")
     )
     salted = names.select("token", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"), F.lit(True).alias("hit"))

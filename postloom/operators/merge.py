@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import split_parts
+from ..functions.arrays import explode_once, split_parts
 from ..functions.text import clean_string, strip
 from ..schema import POST_COLUMNS
 
@@ -42,7 +42,7 @@ def pick_longest(df: DataFrame, by: str, value: str, order: Sequence[str] = ORDE
 
 def first_seen_parts(df: DataFrame, by: str, value: str, order: Sequence[str] = ORDER) -> DataFrame:
     """(by, part, seen): where each distinct part of a key occurs first."""
-    parts = df.select(by, *order, F.posexplode(split_parts(F.col(value))).alias("pos", "part"))
+    parts = explode_once(df, [by, *order], split_parts(F.col(value)), "part", "pos")
     return parts.groupBy(by, "part").agg(F.min(F.struct(*order, "pos")).alias("seen"))
 
 

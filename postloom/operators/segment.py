@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_once
 from ..functions.text import (
     at_most_words,
     count_sentences,
@@ -218,23 +219,21 @@ def detect_headers(docs: DataFrame, detector: HeaderDetector | None = None) -> D
             detector(lines), lambda i: F.struct(i.alias("line"), strip(lines[i]).alias("text"))
         ),
     )
-    return docs.select("des_id", F.inline(rows))
+    return explode_once(docs, ["des_id"], rows, "s").select("des_id", "s.line", "s.text")
 
 
 def split_segments(docs: DataFrame, detector: HeaderDetector | None = None) -> DataFrame:
     """(des_id, seg, text, n_sents)."""
     detector = detector or short_line_headers()
     segs = let(F.split("Description", "\n"), lambda lines: segments(lines, detector))
-    return docs.select("des_id", F.posexplode(segs).alias("seg", "s")).select("des_id", "seg", "s.text", "s.n_sents")
+    return explode_once(docs, ["des_id"], segs, "s", "seg").select("des_id", "seg", "s.text", "s.n_sents")
 
 
 def attach_headers(docs: DataFrame, detector: HeaderDetector | None = None) -> DataFrame:
     """(des_id, island, text, tail)."""
     detector = detector or short_line_headers()
     found = let(F.split("Description", "\n"), lambda lines: islands(segments(lines, detector)))
-    return docs.select("des_id", F.posexplode(found).alias("island", "s")).select(
-        "des_id", "island", "s.text", "s.tail"
-    )
+    return explode_once(docs, ["des_id"], found, "s", "island").select("des_id", "island", "s.text", "s.tail")
 
 
 def split_long_segments(
@@ -243,14 +242,12 @@ def split_long_segments(
     """Adds ``part`` and replaces ``text`` by the pieces of each long row."""
     keep = [c for c in df.columns if c != "text"]
     cut = split_long(F.col("text"), threshold, max_words, held_sentences=held_sentences, para_sep=para_sep)
-    return df.select(*keep, F.posexplode(cut).alias("part", "text"))
+    return explode_once(df, keep, cut, "_piece", "part").withColumnRenamed("_piece", "text")
 
 
 def make_paragraphs(posts: DataFrame, **options) -> DataFrame:
     """(des_id, par_id, text) with dense ``par_id`` from 0 in every post."""
-    return posts.select(
-        "des_id", F.posexplode(paragraphs(F.col("Description"), **options)).alias("par_id", "text")
-    )
+    return explode_once(posts, ["des_id"], paragraphs(F.col("Description"), **options), "text", "par_id")
 
 
 def collect_ordered_paragraphs(paras: DataFrame, text: str = "text") -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_once
 from ..functions.text import let, paragraph_uid
 from ..functions.vectors import l2_normalize
 
@@ -52,14 +53,32 @@ def ngrams(tokens: Column, low: int, high: int) -> Column:
     return let(tokens, lambda t: grow(t, t, 1))
 
 
+def counted(items: Column) -> Column:
+    """array<struct<term, tf>>: distinct items with their counts, inside the row."""
+
+    def runs(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        heads = F.filter(places, lambda i: (i == 0) | (s[i] != F.get(s, i - 1)))
+        return let(
+            heads,
+            lambda h: F.transform(
+                h,
+                lambda at, k: F.struct(
+                    s[at].alias("term"),
+                    (F.coalesce(F.get(h, k + 1), F.size(s)) - at).cast("bigint").alias("tf"),
+                ),
+            ),
+        )
+
+    return let(F.sort_array(items), runs)
+
+
 def document_terms(
     docs: DataFrame, key: Sequence[str] = ("doc_id",), n: tuple[int, int] = (1, 3), stop_words: Sequence[str] = ()
 ) -> DataFrame:
-    """(key, topic, term, tf) of every document."""
+    """(key, topic, term, tf); a document is one row, so counting needs no shuffle."""
     grams = ngrams(topic_tokens(F.col("text"), stop_words), *n)
-    return (
-        docs.select(*key, "topic", F.explode(grams).alias("term")).groupBy(*key, "topic", "term").agg(F.count("*").alias("tf"))
-    )
+    return explode_once(docs, [*key, "topic"], counted(grams), "_t").select(*key, "topic", "_t.term", "_t.tf")
 
 
 def topic_terms(
@@ -71,10 +90,10 @@ def topic_terms(
 ) -> DataFrame:
     """(topic, term, tf) of the terms that occur in enough, but not too many topics."""
     grams = ngrams(topic_tokens(F.col("text"), stop_words), *n)
-    counted = docs.select("topic", F.explode(grams).alias("term")).groupBy("topic", "term").agg(F.count("*").alias("tf"))
+    per_topic = explode_once(docs, ["topic"], grams, "term").groupBy("topic", "term").agg(F.count("*").alias("tf"))
     n_topics = docs.agg(F.count_distinct("topic")).scalar()
     # A term has at most one row per topic here, so the window groups are small.
-    spread = counted.withColumn("df", F.count("*").over(Window.partitionBy("term")))
+    spread = per_topic.withColumn("df", F.count("*").over(Window.partitionBy("term")))
     return spread.where((F.col("df") >= min_df * n_topics) & (F.col("df") <= max_df * n_topics)).drop("df")
 
 

@@ -684,30 +684,29 @@ def _dedupe_posts(spark, d):
 
 @query(
     "dedupe_links",
-    """SELECT doc_id, string_agg(x, ',' ORDER BY i) AS tokens FROM (SELECT doc_id, x, min(i) AS i FROM (
-         SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (
-           SELECT doc_id, regexp_extract_all(text, '[a-z]{2,3}') AS l FROM documents)) GROUP BY doc_id, x) GROUP BY doc_id""",
+    """SELECT d.doc_id, coalesce(tokens, '') AS tokens FROM documents d LEFT JOIN (
+         SELECT doc_id, string_agg(x, ',' ORDER BY i) AS tokens FROM (SELECT doc_id, x, min(i) AS i FROM (
+           SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (
+             SELECT doc_id, regexp_extract_all(text, '[a-z]{2,3}') AS l FROM documents)) GROUP BY doc_id, x) GROUP BY doc_id) USING (doc_id)""",
 )
 def _dedupe_links(spark, d):
     found = F.regexp_extract_all("text", F.lit("[a-z]{2,3}"), F.lit(0))
-    rows = views.documents(spark, d).select("doc_id", F.array_join(arrays.dedupe_links(found), ",").alias("tokens"))
-    return rows.where(F.col("tokens") != "")
+    return views.documents(spark, d).select("doc_id", F.array_join(arrays.dedupe_links(found), ",").alias("tokens"))
 
 
 @query(
     "dedupe_qualifications",
     with_views(
-        f"""SELECT doc_id, string_agg(q, ' | ' ORDER BY i) AS items FROM (
+        f"""SELECT d.doc_id, coalesce(items, '') AS items FROM documents d LEFT JOIN (SELECT doc_id, string_agg(q, ' | ' ORDER BY i) AS items FROM (
               SELECT doc_id, min(i) AS i, arg_min(q, i) AS q FROM (SELECT doc_id, i, {sql.qualification('x')} AS q FROM (
                 SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (
                   SELECT doc_id, string_split(text, ' ') AS l FROM documents))) WHERE q <> ''
-              GROUP BY doc_id, lower(replace(q, 'ß', 'ss'))) GROUP BY doc_id"""
+              GROUP BY doc_id, lower(replace(q, 'ß', 'ss'))) GROUP BY doc_id) USING (doc_id)"""
     ),
 )
 def _dedupe_qualifications(spark, d):
     items = arrays.dedupe_qualifications(F.split("text", " "))
-    rows = views.documents(spark, d).select("doc_id", F.array_join(items, " | ").alias("items"))
-    return rows.where(F.col("items") != "")
+    return views.documents(spark, d).select("doc_id", F.array_join(items, " | ").alias("items"))
 
 
 @query(
@@ -814,7 +813,8 @@ def _split_long_segments(spark, d):
 )
 def _pack_sentences(spark, d):
     chunks = segment.pack_sentences(F.col("text"), max_tokens=120)
-    return views.documents(spark, d).select("doc_id", F.posexplode(chunks).alias("chunk", "text"))
+    docs = views.documents(spark, d).select("doc_id", "text")
+    return arrays.explode_once(docs, ["doc_id"], chunks, "piece", "chunk").withColumnRenamed("piece", "text")
 
 
 @query("make_paragraphs", with_views("SELECT des_id, par_id, text FROM paragraphs", extra=_SEG2))
@@ -829,7 +829,7 @@ def _make_paragraphs(spark, d):
           CAST(generate_subscripts(CASE WHEN len(l) = 0 THEN [''] ELSE l END, 1) - 1 AS INT) AS pos FROM l""",
 )
 def _split_lines(spark, d):
-    return views.documents(spark, d).select("doc_id", F.posexplode(text.split_lines(F.col("text"))).alias("pos", "line"))
+    return arrays.explode_once(views.documents(spark, d), ["doc_id"], text.split_lines(F.col("text")), "line", "pos")
 
 
 @query(

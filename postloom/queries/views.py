@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_once
 from ..functions.labels import label_to_class, predict_label
 from ..session import spread
 
@@ -53,9 +54,8 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("des_id"), F.posexplode(F.split("text", "\n")).alias("par_id", "text")
-    )
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("des_id"), F.col("text").alias("_text"))
+    return explode_once(docs, ["des_id"], F.split("_text", "\n"), "text", "par_id")
 
 
 def rule_scores(df: DataFrame) -> DataFrame:

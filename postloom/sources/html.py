@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import dedupe_links, dedupe_qualifications
+from ..functions.arrays import dedupe_links, dedupe_qualifications, explode_once
 from ..functions.text import resolve_link, strip
 
 # Named character references and their characters; the ampersand is last.
@@ -72,4 +72,4 @@ def extract_links(pages: DataFrame, base: str, pattern: str = r'(?i)<a\s[^>]*?hr
     """(page_id, pos, link): absolute links of a page, each once, in order."""
     hrefs = F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
     links = dedupe_links(F.transform(hrefs, lambda h: resolve_link(h, base)))
-    return pages.select("page_id", F.posexplode(links).alias("pos", "link"))
+    return explode_once(pages, ["page_id"], links, "link", "pos")
