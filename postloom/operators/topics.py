@@ -285,30 +285,28 @@ def topic_similarity(weights: DataFrame) -> DataFrame:
     bounds = weights.agg(F.max("topic"), F.approx_count_distinct("term")).head()
     n_tiles = ((bounds[0] or 0) + 1) // _TILE + 1
     n_blocks = (bounds[1] or 0) // _TERMS_PER_BLOCK + 1
-    mine = F.floor((F.col("topic") + 1) / _TILE).cast("int")
+    size = _TILE
+    mine = F.floor((F.col("topic") + 1) / size).cast("int")
     others = F.sequence(F.lit(0), F.lit(n_tiles - 1))
     placed = (
         unit.withColumn("block", F.pmod(F.xxhash64("term"), F.lit(n_blocks)).cast("int"))
         .withColumn("tile", mine)
         .withColumn("other", F.explode(others))
         .withColumns({"tile_a": F.least("tile", "other"), "tile_b": F.greatest("tile", "other")})
-        .select("tile_a", "tile_b", "block", "tile", "topic", "term", "w")
+        .select("tile_a", "tile_b", "block", "topic", "term", "w")
     )
 
     def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tile_a, tile_b, _ = key
         codes, terms = pd.factorize(rows["term"])
-        w = np.zeros((_TILE * (1 if tile_a == tile_b else 2), len(terms)))
-        local = (rows["topic"].to_numpy() + 1) % _TILE
-        offset = np.where(rows["tile"].to_numpy() == tile_a, 0, _TILE)
-        w[local + offset, codes] = rows["w"].to_numpy()
-        left = w[:_TILE]
-        right = left if tile_a == tile_b else w[_TILE:]
-        product = left @ right.T
-        i, j = np.nonzero(product)
-        a, b = i + tile_a * _TILE - 1, j + tile_b * _TILE - 1
-        keep = a < b
-        return pd.DataFrame({"topic_a": a[keep], "topic_b": b[keep], "part": product[i, j][keep]})
+        names, places = np.unique(rows["topic"].to_numpy(), return_inverse=True)
+        w = np.zeros((len(names), len(terms)))
+        w[places, codes] = rows["w"].to_numpy()
+        product = w @ w.T
+        i, j = np.nonzero(np.triu(product, 1))
+        tiles = (names + 1) // size
+        keep = (tiles[i] == key[0]) & (tiles[j] == key[1])
+        i, j = i[keep], j[keep]
+        return pd.DataFrame({"topic_a": names[i], "topic_b": names[j], "part": product[i, j]})
 
     parts = placed.groupBy("tile_a", "tile_b", "block").applyInPandas(
         multiply, "topic_a int, topic_b int, part double"

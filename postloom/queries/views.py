@@ -54,7 +54,7 @@ def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("des_id"), F.col("text").alias("_text"))
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("des_id"), F.col("text").alias("_text"))
     return explode_once(docs, ["des_id"], F.split("_text", "\n"), "text", "par_id")
 
 

@@ -39,10 +39,10 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-bound work every core when the input came as too few splits.
+    """Give CPU-bound work every core when the input came in too few splits.
 
-    Wide inputs pass unchanged; only a handful of single-row-group files is
-    dealt out again.
+    A small file with one row group is one task's work, although it may count
+    as several splits. Inputs wide enough to fill the cores pass unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
