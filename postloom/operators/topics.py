@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import explode_once
 from ..functions.text import let, paragraph_uid
 from ..functions.vectors import l2_normalize
+from ..session import settle
 
 
 # --- terms -----------------------------------------------------------------------
@@ -280,6 +281,7 @@ def topic_similarity(weights: DataFrame) -> DataFrame:
     products are summed. A term found in every topic costs its block one
     column and never meets itself row by row.
     """
+    weights = settle(weights.select("topic", "term", "weight"))  # read three times
     norms = weights.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
     unit = weights.join(norms, "topic").select("topic", "term", (F.col("weight") / F.col("_norm")).alias("w"))
     bounds = weights.agg(F.max("topic"), F.approx_count_distinct("term")).head()

@@ -996,8 +996,8 @@ def _sizes(spark, d):
     return views.topics(spark, d).groupBy("topic").agg(F.count("*").alias("count"))
 
 
-def _info(spark, d):
-    return topics.topic_info(_weights(spark, d), _sizes(spark, d))
+def _info(spark, d, weights: DataFrame | None = None):
+    return topics.topic_info(weights or _weights(spark, d), _sizes(spark, d))
 
 
 @query("topic_terms", with_views("SELECT topic, term, tf FROM kept", "topics", extra=_topic_cte("kept")))
@@ -1041,14 +1041,14 @@ _REPS = {
 }
 
 
-def _representatives(spark, d):
+def _representatives(spark, d, weights: DataFrame):
     doc_terms = topics.document_terms(views.topics(spark, d), stop_words=views.STOP_WORDS)
-    return topics.representative_docs(doc_terms, _weights(spark, d))
+    return topics.representative_docs(doc_terms, weights)
 
 
 @query("representative_docs", with_views("SELECT topic, rank, doc_id, score FROM reps", "topics", extra=_REPS))
 def _representative_docs(spark, d):
-    return _representatives(spark, d)
+    return _representatives(spark, d, _weights(spark, d))
 
 
 @query(
@@ -1064,7 +1064,8 @@ def _document_info(spark, d):
     docs = views.topics(spark, d)
     probability = (((F.col("doc_id") * 37) % 101 + 1) / F.lit(102.0)).cast("double")
     membership = docs.select("doc_id", "topic", probability.alias("probability"))
-    out = topics.document_info(docs, membership, _info(spark, d), _representatives(spark, d))
+    weights = settle(_weights(spark, d))
+    out = topics.document_info(docs, membership, _info(spark, d, weights), _representatives(spark, d, weights))
     return out.drop("text").withColumn("words", F.array_join("words", ","))
 
 
