@@ -355,13 +355,13 @@ def _not_outlier(spark, d):
 @query(
     "misclassified",
     with_views(
-        """SELECT model_name, des_id, "true", pred, text FROM predictions
+        """SELECT model_name, des_id, par_id, "true", pred, text FROM predictions
            WHERE ("true" = 'JOB' AND pred <> 'JOB') OR ("true" <> 'JOB' AND pred = 'JOB')""",
         "paras", "scored", "labels3", "predictions",
     ),
 )
 def _misclassified(spark, d):
-    return filters.misclassified(views.predictions(spark, d)).select("model_name", "des_id", "true", "pred", "text")
+    return filters.misclassified(views.predictions(spark, d)).select("model_name", "des_id", "par_id", "true", "pred", "text")
 
 
 @query(
@@ -392,12 +392,14 @@ def _keep_surviving_posts(spark, d):
 @query(
     "exclude_annotated",
     with_views(
-        "SELECT des_id, par_id, text FROM paras WHERE md5(text) NOT IN (SELECT md5(text) FROM paras WHERE des_id < 100)", "paras"
+        "SELECT des_id, par_id, text FROM paras WHERE md5(text) NOT IN "
+        "(SELECT md5(text) FROM paras WHERE des_id IN (SELECT doc_id FROM labels))", "paras"
     ),
 )
 def _exclude_annotated(spark, d):
     paras = views.paras(spark, d)
-    done = paras.where(F.col("des_id") < 100).select(text.text_md5(F.col("text")).alias("text_md5"))
+    labelled = views.table(spark, d, "labels").select(F.col("doc_id").alias("des_id"))
+    done = joins.keep_surviving_posts(paras, labelled).select(text.text_md5(F.col("text")).alias("text_md5"))
     return joins.exclude_annotated(paras, done).select("des_id", "par_id", "text")
 
 
@@ -847,30 +849,26 @@ def _collect_ordered_paragraphs(spark, d):
 
 
 _RAW_SPANS = """SELECT des_id, text, a, b FROM (
-  SELECT doc_id AS des_id, split_part(text, chr(10), 1) AS text, doc_id % 20 AS a, doc_id % 20 + 5 + doc_id % 7 AS b FROM documents)
+  SELECT doc_id AS des_id, text, doc_id % 20 AS a, doc_id % 20 + 5 + doc_id % 7 AS b FROM documents)
   WHERE b <= length(text)"""
 
 
 @query(
     "align_spans",
     with_views(
-        """SELECT s.des_id, CAST(t.i - 1 AS INT) AS start, CAST(u.i AS INT) AS "end", 'HEADER' AS label
-           FROM spans s JOIN toks t ON t.des_id = s.des_id AND t.a = s.a JOIN toks u ON u.des_id = s.des_id AND u.b = s.b""",
-        extra={
-            "spans": _RAW_SPANS,
-            "pieces": f"""SELECT des_id, unnest(l) AS x, generate_subscripts(l, 1) AS j FROM (SELECT des_id,
-                            regexp_extract_all(text, '{sql.TOKEN}|[{sql.SPACE}]+') AS l FROM spans)""",
-            "placed": "SELECT *, sum(length(x)) OVER (PARTITION BY des_id ORDER BY j) AS b FROM pieces",
-            "toks": f"""SELECT des_id, b - length(x) AS a, b, row_number() OVER (PARTITION BY des_id ORDER BY j) AS i FROM placed
-                        WHERE {sql.strip('x')} <> ''""",
-        },
+        # A place is between tokens when cutting there leaves their number as it is.
+        f"""SELECT des_id, {sql.tokens('substr(text, 1, a)')} AS start, {sql.tokens('substr(text, 1, b)')} AS "end", 'HEADER' AS label
+            FROM spans WHERE {sql.strip('substr(text, a + 1, 1)')} <> '' AND {sql.strip('substr(text, b, 1)')} <> ''
+              AND {sql.tokens('substr(text, 1, a)')} + {sql.tokens('substr(text, a + 1)')} = {sql.tokens('text')}
+              AND {sql.tokens('substr(text, 1, b)')} + {sql.tokens('substr(text, b + 1)')} = {sql.tokens('text')}""",
+        extra={"spans": _RAW_SPANS},
     ),
 )
 def _align_spans(spark, d):
     a, b = F.col("doc_id") % 20, F.col("doc_id") % 20 + 5 + F.col("doc_id") % 7
     one = F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit("HEADER").alias("label"))
     docs = views.table(spark, d, "documents").select(
-        F.col("doc_id").alias("des_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("text"), F.array(one).alias("spans")
+        F.col("doc_id").alias("des_id"), "text", F.array(one).alias("spans")
     )
     return spans.align_spans(docs)
 
@@ -904,7 +902,7 @@ def _strip_entities(spark, d):
 @query(
     "evaluate_classifier",
     _sql_report(
-        """SELECT q.model_name, q.des_id, round(p_JOB, 6) AS p_job, round(p_CONTEXT, 6) AS p_context, round(p_CONDITIONS, 6) AS p_conditions,
+        """SELECT q.model_name, q.des_id, q.par_id, round(p_JOB, 6) AS p_job, round(p_CONTEXT, 6) AS p_context, round(p_CONDITIONS, 6) AS p_conditions,
              "true", pred, ("true" = 'JOB') <> (pred = 'JOB') AS job_mistake, g.macro_f1
            FROM predictions q JOIN (SELECT model_name, round(avg(f), 6) AS macro_f1 FROM m GROUP BY model_name) g USING (model_name)"""
     ),
@@ -913,6 +911,7 @@ def _evaluate_classifier(spark, d):
     return classify.evaluate_classifier(views.predictions(spark, d)).select(
         "model_name",
         "des_id",
+        "par_id",
         *[F.round(f"p_{c}", 6).alias(f"p_{c.lower()}") for c in ("JOB", "CONTEXT", "CONDITIONS")],
         "true",
         "pred",

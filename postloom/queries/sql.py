@@ -55,16 +55,6 @@ def qualification(x: str) -> str:
     return f"rtrim({x}, {lit(ITEM_SUFFIX)})"
 
 
-def strip_names(x: str, ws: str = "w") -> str:
-    """Drop gazetteer tokens that are not whitelisted."""
-    white = ", ".join(lit(w) for w in TECH_WHITELIST if " " not in w)
-    keep = (
-        f"list_filter(regexp_extract_all({x}, '{TOKEN_AND_BLANK}'), lambda t: NOT list_contains((SELECT list(token) FROM gazetteer), "
-        f"lower({strip('t')})) OR lower({strip('t')}) IN ({white}))"
-    )
-    return strip(f"array_to_string({keep}, '')")
-
-
 def label(job: str = "prob_job", blurb: str = "prob_blurb_legal", offer: str = "prob_offer_detail") -> str:
     top = f"greatest({job}, {blurb}, {offer})"
     return (
@@ -108,13 +98,13 @@ VIEWS["predicted"] = f"SELECT *, {label()} AS prediction FROM scored"
 VIEWS["labels3"] = """
 SELECT doc_id, CASE WHEN toxic = 1 THEN 'CONDITIONS' WHEN quality = 1 THEN 'JOB' ELSE 'CONTEXT' END AS label FROM labels"""
 VIEWS["predictions"] = f"""
-SELECT des_id, text, p_JOB, p_CONTEXT, p_CONDITIONS, "true", m.model_name AS model_name, m.pred AS pred FROM (
-  SELECT s.des_id, s.text, s.prob_job AS p_JOB, s.prob_blurb_legal AS p_CONTEXT, s.prob_offer_detail AS p_CONDITIONS,
+SELECT des_id, par_id, text, p_JOB, p_CONTEXT, p_CONDITIONS, "true", m.model_name AS model_name, m.pred AS pred FROM (
+  SELECT s.des_id, s.par_id, s.text, s.prob_job AS p_JOB, s.prob_blurb_legal AS p_CONTEXT, s.prob_offer_detail AS p_CONDITIONS,
     l.label AS "true", unnest([
       {{'model_name': 'rule', 'pred': CASE {label()} WHEN 'job' THEN 'JOB' WHEN 'blurb_legal' THEN 'CONTEXT' ELSE 'CONDITIONS' END}},
       {{'model_name': 'keen', 'pred': CASE WHEN prob_job > 0.3 THEN 'JOB' ELSE 'CONTEXT' END}},
       {{'model_name': 'shy', 'pred': CASE WHEN prob_job > 0.6 THEN 'JOB' ELSE 'CONDITIONS' END}}]) AS m
-  FROM scored s JOIN labels3 l ON l.doc_id = s.des_id WHERE s.par_id = 0)"""
+  FROM scored s JOIN labels3 l ON l.doc_id = s.des_id)"""
 VIEWS["vectors"] = """
 SELECT CAST(floor(vec_id / 5) AS BIGINT) AS des_id, CAST(vec_id % 5 AS INT) AS par_id, embedding, label FROM embeddings"""
 VIEWS["blobs"] = """
@@ -124,7 +114,8 @@ SELECT id, label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v
     + (CASE WHEN vec_id % 25 <> 0 AND i - 1 = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS v
   FROM embeddings)"""
 VIEWS["topics"] = """
-SELECT d.doc_id, e.label AS topic, d.text FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id"""
+SELECT d.doc_id, e.label AS topic, d.text FROM documents d JOIN embeddings e
+ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)"""
 VIEWS["gazetteer"] = """
 SELECT DISTINCT lower(t) AS token FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS t FROM benchmark)
 WHERE length(t) >= 9"""

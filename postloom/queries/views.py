@@ -88,7 +88,6 @@ def labels3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three models: the label rule, and two that lean on one column."""
-    first = scored(spark, sf_dir).where(F.col("par_id") == 0)
     given = labels3(spark, sf_dir).select(F.col("doc_id").alias("des_id"), F.col("label").alias("true"))
     rule = label_to_class(predict_label(F.col("prob_job"), F.col("prob_blurb_legal"), F.col("prob_offer_detail")))
     models = F.array(
@@ -100,8 +99,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("shy").alias("model_name"), F.when(F.col("prob_job") > 0.6, "JOB").otherwise("CONDITIONS").alias("pred")
         ),
     )
-    return given.join(first, "des_id").select(
+    return given.join(scored(spark, sf_dir), "des_id").select(
         "des_id",
+        "par_id",
         "text",
         F.col("prob_job").alias("p_JOB"),
         F.col("prob_blurb_legal").alias("p_CONTEXT"),
@@ -135,8 +135,11 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("topic"))
-    return documents(spark, sf_dir).select("doc_id", "text").join(given, "doc_id")
+    """Every document with the label of a vector; vectors are reused in turn."""
+    given = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("topic"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    docs = docs.withColumn("vec_id", F.col("doc_id") % given.agg(F.count("*")).scalar())
+    return docs.join(given, "vec_id").select("doc_id", "topic", "text")
 
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
