@@ -13,6 +13,7 @@ group of copies is a single point here, however large it is.
 from __future__ import annotations
 
 import math
+import pickle
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -177,12 +178,13 @@ def _plan(reps: DataFrame, leaf_rows: int, max_leaves: int) -> Leaves:
 
 def _locate(reps: DataFrame, t: Leaves) -> DataFrame:
     """Adds ``leaf``."""
-    tree = reps.sparkSession.sparkContext.broadcast(t)
+    tree = reps.sparkSession.sparkContext.broadcast(cloudpickle.dumps(t))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leaves = pickle.loads(tree.value)
         for b in batches:
             if len(b):
-                yield b.assign(leaf=home_of(tree.value, _matrix(b["v"])))
+                yield b.assign(leaf=home_of(leaves, _matrix(b["v"])))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reps.schema)
     return settle(reps.mapInPandas(place, f"{schema}, leaf int"))
@@ -193,10 +195,10 @@ def _send(queries: DataFrame, t: Leaves, keep: np.ndarray | None = None) -> Data
 
     ``keep[home, other]`` may rule out pairs of leaves.
     """
-    tree = queries.sparkSession.sparkContext.broadcast((t, keep))
+    tree = queries.sparkSession.sparkContext.broadcast(cloudpickle.dumps((t, keep)))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leaves, allowed = tree.value
+        leaves, allowed = pickle.loads(tree.value)
         for b in batches:
             if not len(b):
                 continue
