@@ -153,7 +153,7 @@ def _sizes_allow(n: str, m: str, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold.
 
     A task holds one centre b's set at a time and meets it with the texts of its
@@ -163,12 +163,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int)
     fans = pairs.groupBy("b").agg(F.ceil(F.count("*") / FAN).cast("bigint").alias("fans"))
     members = pairs.join(fans, "b").select(F.col("a").alias("node"), F.col("b").alias("centre"), (F.col("spin") % F.col("fans")).alias("fan"))
     centres = fans.select(F.col("b").alias("node"), F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("fans") - 1)).alias("fan"))
-    keys = reps.select(F.col("rid").alias("node"), F.col("doc_id").alias("_doc"), F.col("t").alias("_t"))
-    # One row of a class brings the text; a row repeated as it is brings the same one again.
-    roles = stored(members.union(centres).join(keys, "node"), "near-roles")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
     rows = (
-        texts.join(roles, (F.col("t") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+        members.union(centres)
+        .join(texts, "node")
         .select("centre", "fan", (F.col("node") != F.col("centre")).alias("member"), "node", "text")
         .repartition("centre", "fan")
         .sortWithinPartitions("centre", "fan", "member", "node")
@@ -193,10 +190,23 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int)
     return rows.mapInArrow(check, "a bigint, b bigint")
 
 
-def _star(buckets: DataFrame, reps: DataFrame, percent: int, limit: int) -> DataFrame:
-    """(a, b): each class with the closest of its buckets' smallest classes."""
+def _shared(reps: DataFrame) -> DataFrame:
+    """(key, node, centre): the buckets of two members or more, each with its smallest class."""
+    buckets = reps.select(F.col("rid").alias("node"), F.explode("bands").alias("key"))
     centres = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("centre")).where("members > 1")
-    pairs = buckets.join(centres, "key").where("node <> centre").select("node", "centre").distinct()
+    return buckets.join(centres.drop("members"), "key")
+
+
+def _texts(shared: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the classes that share a bucket; a row that stands in ``docs`` twice may bring its text twice."""
+    keys = reps.join(shared.select(F.col("node").alias("rid")).distinct(), "rid").select(F.col("rid").alias("node"), F.col("doc_id").alias("_doc"), F.col("t").alias("_t"))
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
+    return own.join(keys, (F.col("t") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("node", "text")
+
+
+def _star(shared: DataFrame, reps: DataFrame, percent: int, limit: int) -> DataFrame:
+    """(a, b): each class with the closest of its buckets' smallest classes."""
+    pairs = shared.where("node <> centre").select("node", "centre").distinct()
     mine = reps.select(F.col("rid").alias("node"), F.col("n").alias("n"), F.col("sketch").alias("s"))
     theirs = reps.select(F.col("rid").alias("centre"), F.col("n").alias("m"), F.col("sketch").alias("o"))
     close = (
@@ -209,10 +219,11 @@ def _star(buckets: DataFrame, reps: DataFrame, percent: int, limit: int) -> Data
     return close.groupBy("node").agg(F.min(F.struct("z", "centre")).alias("best")).select(F.col("node").alias("a"), F.col("best.centre").alias("b"))
 
 
-def _blocks(buckets: DataFrame, reps: DataFrame, roots: DataFrame, refused: DataFrame, percent: int, limit: int, top: int | None) -> DataFrame:
+def _blocks(shared: DataFrame, reps: DataFrame, roots: DataFrame, refused: DataFrame, percent: int, limit: int, top: int | None) -> DataFrame:
     """(a, b): pairs of unlike components that share a bucket and have close sketches."""
-    comp = reps.select(F.col("rid").alias("node"), "n", "sketch").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    tagged = buckets.join(comp.select("node", "comp"), "node")
+    members = reps.select(F.col("rid").alias("node"), "n", "sketch").join(shared.select("node").distinct(), "node")
+    comp = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    tagged = shared.select("key", "node").join(comp.select("node", "comp"), "node")
     mixed = (
         tagged.groupBy("key", "comp")
         .agg(F.count("*").alias("size"))
@@ -318,15 +329,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     full = sigs.where("n > 0")
     classes = stored(full.groupBy("f1", "f2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least")), "near-classes")
     reps = stored(full.join(classes.select(F.col("node").alias("rid")), "rid"), "near-reps")
-    buckets = reps.select(F.col("rid").alias("node"), F.explode("bands").alias("key"))
-    tried = stored(_star(buckets, reps, percent, limit), "near-tried")
-    links = stored(_verified(tried, reps, docs, percent), "near-links")
+    shared = stored(_shared(reps), "near-buckets")
+    texts = stored(_texts(shared, reps, docs), "near-texts")
+    tried = stored(_star(shared, reps, percent, limit), "near-tried")
+    links = stored(_verified(tried, texts, percent), "near-links")
     for top in (4, None):
-        roots = connected(links)
-        more = stored(_blocks(buckets, reps, roots, tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), percent, limit, top), "near-tried")
+        refused = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        more = stored(_blocks(shared, reps, connected(links), refused, percent, limit, top), "near-tried")
         if more.isEmpty():
             break
-        links = stored(links.union(_verified(more, reps, docs, percent)), "near-links")
+        links = stored(links.union(_verified(more, texts, percent)), "near-links")
         tried = stored(tried.union(more), "near-tried")
     roots = connected(links)
     placed = classes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
