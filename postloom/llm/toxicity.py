@@ -109,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
     sparse = F.udf(lambda at: Vectors.sparse(len(slot), at, ratio[at]), VectorUDT())
     rows = sample.mapInArrow(vectors, "label double, at array<int>").select("label", sparse("at").alias("features"))
-    fitted = LogisticRegression(regParam=0.002, maxIter=40, standardization=False).fit(stored(rows, "toxic-vectors"))
+    fitted = LogisticRegression(regParam=0.0005, maxIter=40, standardization=False).fit(stored(rows, "toxic-vectors"))
     weights = empty.copy()
     weights[slot] = fitted.coefficients.toArray() * ratio
     return Model(weights, float(fitted.intercept))
