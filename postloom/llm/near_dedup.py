@@ -11,18 +11,21 @@ text moves.
 A bucket is never expanded into pairs of rows:
 
 1.  every member meets the smallest class of its bucket (a star); of all its
-    centres the one with the closest sketch is checked on the full sets;
-2.  what is linked is contracted. Buckets whose members all belong to one
+    centres the one with the closest sketch is checked on the full sets, and
+    what is linked is contracted. Buckets whose members all belong to one
     component are finished;
-3.  in the other buckets, members outside the largest component meet all
-    members in blocks of at most ``BLOCK`` rows a side, compared by sketch inside the
-    task; only pairs of different components with close sketches leave it.
-    A first pass keeps each member's closest partners, the last keeps all.
-
-Step 3 ends with every pair that shares a bucket and may reach the threshold
-either linked, inside one component, or refused on its full sets. A pair of
-similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32 = 5e-6; a
-sketch limit of 4.5 standard deviations loses another 3e-6.
+2.  in the other buckets, members outside the largest component meet all members in
+    blocks of at most ``BLOCK`` rows a side, compared by sketch inside the task. Those
+    with a close sketch in another component are still open; a task returns only
+    which of them hang together, a row per member;
+3.  what hangs together meets once more in such blocks, now with the texts,
+    and every pair of different components is decided on the full sets. Again
+    a task returns only what hangs together.
+
+Every pair that shares a bucket and may reach the threshold ends up linked,
+inside one component, or refused on its full sets. A pair of similarity 0.75
+shares no bucket with probability (1 - 0.75**4)**32 = 5e-6; a sketch limit of
+4.5 standard deviations loses another 3e-6.
 """
 
 from __future__ import annotations
@@ -219,94 +222,148 @@ def _star(shared: DataFrame, reps: DataFrame, percent: int, limit: int) -> DataF
     return close.groupBy("node").agg(F.min(F.struct("z", "centre")).alias("best")).select(F.col("node").alias("a"), F.col("best.centre").alias("b"))
 
 
-def _blocks(shared: DataFrame, reps: DataFrame, roots: DataFrame, refused: DataFrame, percent: int, limit: int, top: int | None) -> DataFrame:
-    """(a, b): pairs of unlike components that share a bucket and have close sketches."""
-    members = reps.select(F.col("rid").alias("node"), "n", "sketch").join(shared.select("node").distinct(), "node")
-    comp = members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    tagged = shared.select("key", "node").join(comp.select("node", "comp"), "node")
+def _dealt(rows: DataFrame, payload: DataFrame) -> DataFrame:
+    """(key, i, j, side, node, comp, and the columns of ``payload``), sorted by key, i, j, side.
+
+    rows: key, node, comp. Of each key with several components, the members
+    outside the largest (side 0) meet all members (side 1): each group (key, i, j)
+    holds about ``BLOCK`` of either, and every such pair of members meets in one group.
+    """
     mixed = (
-        tagged.groupBy("key", "comp")
+        rows.groupBy("key", "comp")
         .agg(F.count("*").alias("size"))
         .groupBy("key")
         .agg(F.sum("size").alias("members"), F.max(F.struct("size", "comp")).alias("most"), F.count("*").alias("comps"))
         .where("comps > 1")
-        .select("key", "members", F.col("most.comp").alias("main"))
+        .select("key", "members", (F.col("members") - F.col("most.size")).alias("minors"), F.col("most.comp").alias("main"))
     )
-    inside = tagged.join(mixed, "key").withColumn("minor", F.col("comp") != F.col("main"))
-    minors = inside.where("minor").groupBy("key").agg(F.count("*").alias("minors"))
-    parts = inside.join(minors, "key").select(
-        "key", "node", "minor",
+    parts = rows.join(mixed, "key").select(
+        "key", "node", "comp", (F.col("comp") != F.col("main")).alias("minor"),
         F.ceil(F.col("minors") / BLOCK).cast("bigint").alias("left_parts"),
         F.ceil(F.col("members") / BLOCK).cast("bigint").alias("right_parts"),
         F.pmod(F.xxhash64("node"), F.lit(1 << 30)).alias("spin"),
     )
-    every = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
-    left = parts.where("minor").select("key", (F.col("spin") % F.col("left_parts")).alias("i"), F.explode(every("right_parts")).alias("j"), F.lit(0).alias("side"), "node")
-    right = parts.select("key", F.explode(every("left_parts")).alias("i"), (F.col("spin") % F.col("right_parts")).alias("j"), F.lit(1).alias("side"), "node")
-    rows = (
-        left.union(right)
-        .join(comp, "node")
-        .select("key", "i", "j", "side", "node", "comp", "n", "sketch")
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j", "side", "node")
-    )
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    left = parts.where("minor").select("key", (F.col("spin") % F.col("left_parts")).alias("i"), every("right_parts").alias("j"), F.lit(0).alias("side"), "node", "comp")
+    right = parts.select("key", every("left_parts").alias("i"), (F.col("spin") % F.col("right_parts")).alias("j"), F.lit(1).alias("side"), "node", "comp")
+    met = left.union(right).join(payload, "node")
+    rest = [c for c in payload.columns if c != "node"]
+    return met.select("key", "i", "j", "side", "node", "comp", *rest).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables that hold whole groups (key, i, j), with the bounds of the groups."""
+
+    def bounds(t: pa.Table) -> np.ndarray:
+        key, i, j = (t.column(c).to_numpy() for c in range(3))
+        return np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
+
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if t.num_rows:
+            at = bounds(t)
+            if len(at) > 2:
+                yield t.slice(0, int(at[-2])).combine_chunks(), at[:-1]
+            rest = t.slice(int(at[-2]))  # may go on in the next batch
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks(), np.array([0, rest.num_rows])
+
+
+def _hanging(node: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node it hangs together with) of all nodes in ``pairs`` of positions."""
+    if not pairs:
+        return (np.empty(0, np.int64),) * 2
+    x, y = (np.concatenate(c) for c in zip(*pairs, strict=True))
+    least = node.copy()
+    while True:
+        before = least.copy()
+        low = np.minimum(least[x], least[y])
+        np.minimum.at(least, x, low)
+        np.minimum.at(least, y, low)
+        # The same node may stand on both sides of a group.
+        names, where = np.unique(node, return_inverse=True)
+        shared = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(shared, where, least)
+        least = shared[where]
+        if (least == before).all():
+            break
+    used = np.unique(np.r_[x, y])
+    found = np.unique(np.stack([node[used], least[used]], axis=1), axis=0)
+    found = found[found[:, 0] != found[:, 1]]
+    return found[:, 0], found[:, 1]
+
+
+def _pair_rows(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    join = lambda c: np.concatenate(c) if c else np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(join(a), pa.int64()), pa.array(join(b), pa.int64())], ["a", "b"])
+
+
+def _open(rows: DataFrame, reps: DataFrame, percent: int, limit: int) -> DataFrame:
+    """(a, b): members of unlike components with close sketches, hung onto the smallest they hang together with."""
 
-    def pairs_of(side, node, comp, n, sketch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cut = int(np.searchsorted(side, 1))
-        a, b = np.arange(cut), np.arange(cut, len(side))
+    def close(node, comp, n, sketch, cut) -> tuple[np.ndarray, np.ndarray]:
+        right = np.arange(cut, len(node))
         found = []
-        for at in range(0, len(a), 64):
-            rows = a[at : at + 64]
-            low, high = np.minimum(n[rows][:, None], n[b]), np.maximum(n[rows][:, None], n[b])
-            may = (comp[rows][:, None] != comp[b]) & (100 * low >= percent * high)
-            i, j = np.nonzero(may)
+        for at in range(0, cut, 64):
+            left = np.arange(at, min(cut, at + 64))
+            low, high = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+            i, j = np.nonzero((comp[left][:, None] != comp[right]) & (100 * low >= percent * high))
             if len(i):
-                z = np.bitwise_count(sketch[rows[i]] ^ sketch[b[j]]).sum(axis=1, dtype=np.int64)
-                ok = z <= limit
-                found.append((node[rows[i[ok]]], node[b[j[ok]]], z[ok]))
-        if not found:
-            return (np.empty(0, np.int64),) * 3
-        x, y, z = (np.concatenate(c) for c in zip(*found, strict=True))
-        if top is not None:
-            order = np.lexsort((y, z, x))
-            x, y, z = x[order], y[order], z[order]
-            rank = np.arange(len(x)) - np.searchsorted(x, x, side="left")
-            x, y, z = x[rank < top], y[rank < top], z[rank < top]
-        return x, y, z
+                ok = np.bitwise_count(sketch[left[i]] ^ sketch[right[j]]).sum(axis=1, dtype=np.int64) <= limit
+                found.append((left[i[ok]], right[j[ok]]))
+        return _hanging(node, [p for p in found if len(p[0])])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            whole = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            rest, done = _split_last(whole)
-            yield from groups(done)
-        if rest is not None:
-            yield from groups(rest)
-
-    def groups(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not t.num_rows:
-            return
-        t = t.combine_chunks()
-        key, i, j, side, node, comp, n = (t.column(c).to_numpy() for c in range(7))
-        sketch = t.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS64)
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        out = [pairs_of(*(c[s:e] for c in (side, node, comp, n, sketch))) for s, e in zip(starts, np.r_[starts[1:], len(key)], strict=True)]
-        x, y, z = (np.concatenate(c) for c in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(z)], ["x", "y", "z"])
-
-    near = rows.mapInArrow(meet, "x bigint, y bigint, z bigint")
-    near = near.groupBy(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).agg(F.min("z").alias("z"))
-    return near.join(refused, ["a", "b"], "left_anti").select("a", "b")
-
-
-def _split_last(t: pa.Table) -> tuple[pa.Table, pa.Table]:
-    """The last, maybe unfinished group of sorted rows, and those before it."""
-    if not t.num_rows:
-        return t, t
-    key, i, j = (t.column(c).to_numpy() for c in range(3))
-    same = (key == key[-1]) & (i == i[-1]) & (j == j[-1])
-    at = int(np.argmax(same))
-    return t.slice(at), t.slice(0, at)
+        for t, bounds in _groups(batches):
+            side, node, comp, n = (t.column(c).to_numpy() for c in (3, 4, 5, 6))
+            sketch = t.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS64)
+            out = []
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                out.append(close(*(c[s:e] for c in (node, comp, n, sketch)), int(np.searchsorted(side[s:e], 1))))
+            yield _pair_rows(*map(list, zip(*out, strict=True)))
+
+    payload = reps.select(F.col("rid").alias("node"), "n", "sketch")
+    return _dealt(rows, payload).mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def _settled(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of unlike components that reach the threshold, hung onto the smallest they hang together with."""
+
+    def linked(node, comp, sets, cut) -> tuple[np.ndarray, np.ndarray]:
+        if cut in (0, len(node)):
+            return _hanging(node, [])
+        size = np.array([len(s) for s in sets])
+        names, place = np.unique(np.concatenate(sets[cut:]), return_inverse=True)
+        starts = np.r_[0, np.cumsum(size[cut:])[:-1]]
+        flags = np.zeros(len(names) + 1, dtype=np.int32)
+        found = []
+        for x in range(cut):
+            at = np.searchsorted(names, sets[x])
+            at = at[names[np.minimum(at, len(names) - 1)] == sets[x]]
+            flags[at] = 1
+            both = np.add.reduceat(flags[place], starts)
+            flags[at] = 0
+            ok = (comp[x] != comp[cut:]) & (100 * both >= percent * (size[x] + size[cut:] - both))
+            y = cut + np.flatnonzero(ok)
+            found.append((np.full(len(y), x), y))
+        return _hanging(node, [p for p in found if len(p[0])])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for t, bounds in _groups(batches):
+            side, node, comp = (t.column(c).to_numpy() for c in (3, 4, 5))
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                sets = [shingle_set(x, known) for x in t.column(6).slice(s, e - s).to_pylist()]
+                a, b = linked(node[s:e], comp[s:e], sets, int(np.searchsorted(side[s:e], 1)))
+                yield _pair_rows([a], [b])
+
+    return _dealt(rows, texts).mapInArrow(meet, "a bigint, b bigint")
+
+
+def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, comp) of ``nodes``."""
+    return nodes.join(connected(links), "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -331,15 +388,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     reps = stored(full.join(classes.select(F.col("node").alias("rid")), "rid"), "near-reps")
     shared = stored(_shared(reps), "near-buckets")
     texts = stored(_texts(shared, reps, docs), "near-texts")
-    tried = stored(_star(shared, reps, percent, limit), "near-tried")
-    links = stored(_verified(tried, texts, percent), "near-links")
-    for top in (4, None):
-        refused = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        more = stored(_blocks(shared, reps, connected(links), refused, percent, limit, top), "near-tried")
-        if more.isEmpty():
-            break
-        links = stored(links.union(_verified(more, texts, percent)), "near-links")
-        tried = stored(tried.union(more), "near-tried")
+    links = stored(_verified(_star(shared, reps, percent, limit), texts, percent), "near-links")
+    comps = stored(_components(shared.select("node").distinct(), links), "near-components")
+    rows = shared.select("key", "node").join(comps, "node")
+    near = stored(_open(rows, reps, percent, limit), "near-open")
+    if not near.isEmpty():
+        groups = connected(near).select("node", F.col("root").alias("key")).join(comps, "node")
+        links = stored(links.union(_settled(groups, texts, percent)), "near-links")
     roots = connected(links)
     placed = classes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     least = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
