@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.llm.store import stored
-from postloom.llm.tokens import WordTokenizer
+from postloom.llm.tokens import worker_tokenizer
 
 CAPACITY = 2048
 #: Mean pieces of a rank block.
 BLOCK_ROWS = 4096
 #: Characters tokenised together.
-_CHUNK = 1 << 18
+_CHUNK = 1 << 22
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -150,7 +150,7 @@ def _pieces(docs: DataFrame, vocab: str, capacity: int, with_ids: bool) -> DataF
     end = np.array([0], dtype="<u4").tobytes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokenizer(vocab)
+        tokens = worker_tokenizer(vocab)
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             at = 0

@@ -6,9 +6,11 @@ import sys
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 
-CHUNKS_KEPT = 1 << 19
+CHUNKS_KEPT = 1 << 20
 #: Marks that end a word and are no letters, digits or blanks.
 _TAIL = ".,;:!?"
 
@@ -31,53 +33,80 @@ class WordTokenizer:
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
+        self.special_id, self.special = min((i, t.content) for i, t in self.library.get_added_tokens_decoder().items())
         self.known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _together(self, chunks: list[str], glue: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([glue.join(chunks)], add_special_tokens=False)[0].ids, dtype="<u4")
+
     def _learn(self, missing: set[str]) -> None:
-        if len(self.known) > CHUNKS_KEPT:
-            self.known.clear()
-        known, tails, cores = self.known, [], set()
+        known, tails, cores, others = self.known, [], set(), []
         for chunk in missing:
             core = chunk.rstrip(_TAIL)
             if not core.isalpha():
-                known[chunk] = self._whole(chunk)
+                others.append(chunk)
                 continue
             if core not in known:
                 cores.add(core)
             if len(core) < len(chunk):
                 tails.append((chunk, core, chunk[len(core) :]))
+        # A word of letters ends with the only word-end id it has.
         words = list(cores)
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(words):
-            raw, start = ids.tobytes(), 0
-            for word, stop in zip(words, (4 * stops).tolist(), strict=True):
-                known[word] = raw[start:stop]
-                start = stop
-        else:
-            for word in words:
-                known[word] = self._whole(word)
+        ids = self._together(words, " ")
+        self._cut(words, ids, np.flatnonzero(self.ends[ids]) + 1, 0)
+        # Other chunks stand between special tokens, which none of them holds.
+        ids = self._together([*others, ""], self.special)
+        self._cut(others, ids, np.flatnonzero(ids == self.special_id) + 1, 1)
         for chunk, core, tail in tails:
             if tail not in known:
                 known[tail] = self._whole(tail)
             known[chunk] = known[core] + known[tail]
 
+    def _cut(self, chunks: list[str], ids: np.ndarray, stops: np.ndarray, glue: int) -> None:
+        """Remember the ids of chunks encoded together; one by one if they cannot be told apart."""
+        if len(stops) != len(chunks):
+            self.known.update((c, self._whole(c)) for c in chunks)
+            return
+        raw, start = ids.tobytes(), 0
+        for chunk, stop in zip(chunks, (4 * stops).tolist(), strict=True):
+            self.known[chunk] = raw[start : stop - 4 * glue]
+            start = stop
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks: list[list[str] | None] = []
+        low, whole = [], []
         for text in texts:
-            low = text.lower()
-            plain = "<|" not in text and "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)
-            chunks.append(low.replace("\n", " ").split(" ") if plain else None)
-        seen = set().union(*(c for c in chunks if c is not None))
-        if missing := seen - self.known.keys():
+            small = text.lower()
+            plain = self.special[:2] not in text and "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", small)
+            low.append(small.replace("\n", " ") if plain else "")
+            whole.append(not plain)
+        chunks = pc.split_pattern(pa.array(low, pa.large_string()), " ")
+        coded = chunks.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if missing := set(distinct).difference(self.known):
             if len(self.known) + len(missing) > CHUNKS_KEPT:
-                missing = seen
+                self.known.clear()
+                missing = set(distinct)
             self._learn(missing)
-        get = self.known.__getitem__
-        return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks, strict=True)]
+        ids = pa.array(map(self.known.__getitem__, distinct), pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(ids.buffers()[1], dtype=np.int64, count=len(ids) + 1)[chunks.offsets.to_numpy()].tolist()
+        raw = memoryview(ids.buffers()[2]) if at[-1] else memoryview(b"")
+        return [self._whole(t) if w else bytes(raw[a:b]) for t, w, a, b in zip(texts, whole, at[:-1], at[1:], strict=True)]
+
+
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """The process's tokenizer for a file. Python workers outlive tasks, and what they have encoded stays known.
+
+    Tasks bring this module along by value, so it is kept with the library, which is one for the process.
+    """
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_by_path", {})
+    if path not in held:
+        held[path] = WordTokenizer(path)
+    return held[path]
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
