@@ -152,7 +152,9 @@ def fit(docs: DataFrame) -> Detector:
     With no such line the unknown class is trained on one made of the word "unknown".
     """
     spark = docs.sparkSession
-    some = docs.select("text").where("text is not null").select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(OTHER_DOCS)
+    own = docs.select("text", F.xxhash64("text").alias("h")).where("text is not null")
+    lowest = own.select("h").distinct().orderBy("h").limit(OTHER_DOCS)
+    some = own.join(F.broadcast(lowest), "h")  # OTHER_DOCS numbers
     lines = some.select(F.explode(F.split("text", "\n")).alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]")).distinct()
     known = _constant([t for family in _templates(spark) for t in family], "array<array<string>>")
     others = lines.where(_overlap(_pairs(terms(F.col("text"))), known) < OVERLAP)
