@@ -55,6 +55,8 @@ BLOCK = 512
 FAN = 64
 #: Elements hashed at once.
 _CHUNK = 1 << 15
+#: Documents of which a task holds sets and sketches at a time.
+_ROWS = 1024
 
 
 def sketch_limit(threshold: float, deviations: float = 4.5) -> int:
@@ -118,7 +120,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             sets = [shingle_set(x, known) for x in batch.column(2).to_pylist()]
             n = np.array([len(s) for s in sets], dtype=np.int64)
             full = np.flatnonzero(n)

@@ -39,7 +39,7 @@ CAPACITY = 2048
 #: Mean pieces of a rank block.
 BLOCK_ROWS = 4096
 #: Characters tokenised together.
-_CHUNK = 1 << 22
+_CHUNK = 1 << 21
 
 Pattern = tuple[tuple[int, ...], int]
 

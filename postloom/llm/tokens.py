@@ -10,7 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 
-CHUNKS_KEPT = 1 << 20
+#: Chunks of a generation; the last full one and the one being filled are remembered.
+CHUNKS_KEPT = 1 << 17
 #: Marks that end a word and are no letters, digits or blanks.
 _TAIL = ".,;:!?"
 
@@ -35,6 +36,7 @@ class WordTokenizer:
         self.ends[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
         self.special_id, self.special = min((i, t.content) for i, t in self.library.get_added_tokens_decoder().items())
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -85,10 +87,12 @@ class WordTokenizer:
         chunks = pc.split_pattern(pa.array(low, pa.large_string()), " ")
         coded = chunks.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if missing := set(distinct).difference(self.known):
-            if len(self.known) + len(missing) > CHUNKS_KEPT:
-                self.known.clear()
-                missing = set(distinct)
+        if len(self.known) > CHUNKS_KEPT:
+            self.known, self.old = {}, self.known
+        missing = set(distinct).difference(self.known)
+        again = missing.intersection(self.old)
+        self.known.update((c, self.old[c]) for c in again)
+        if missing := missing - again:
             self._learn(missing)
         ids = pa.array(map(self.known.__getitem__, distinct), pa.large_binary()).take(coded.indices)
         at = np.frombuffer(ids.buffers()[1], dtype=np.int64, count=len(ids) + 1)[chunks.offsets.to_numpy()].tolist()
