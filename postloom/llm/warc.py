@@ -38,6 +38,8 @@ MAGIC = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
 #: Width of the ranges by which cut records find their lines.
 RANGE = 1 << 16
+#: Up to so many repeated payloads (40 bytes each) are broadcast; more are joined by shuffle.
+FEW_PAYLOADS = 200_000
 
 
 def base32_sha1(value: Column) -> Column:
@@ -58,9 +60,12 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html").cast("binary")))
-    last = rows.groupBy("digest").agg(F.max("page_id").alias("largest"))
-    rows = rows.join(last, "digest").withColumn("size", F.octet_length("html"))
-    revisit = (F.col("size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("largest"))
+    # Only payloads that occur again matter; few of them need not move the pages.
+    again = rows.groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = stored(again.withColumn("repeated", F.lit(True)), "warc-repeated")
+    small = again.limit(FEW_PAYLOADS + 1).count() <= FEW_PAYLOADS
+    rows = rows.join(F.broadcast(again) if small else again, "digest", "left").withColumn("size", F.octet_length("html"))
+    revisit = F.coalesce("repeated", F.lit(False)) & (F.col("size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("largest"))
     rows = rows.withColumn("revisit", revisit)
     nl = "\r\n"
     http = F.lit(f"HTTP/1.1 200 OK{nl}Content-Type: text/html; charset=utf-8{nl}{nl}")
