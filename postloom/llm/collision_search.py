@@ -23,14 +23,14 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS = 96
+PROJECTIONS = 64
 #: Share of the arrays in which a candidate collides.
 THRESHOLD = 0.7
 #: Share of a block's points that must collide before windows stop growing.
 SHARE = 0.3
 #: Factor of virtual rehashing.
-WIDEN = 1.12
-BLOCK_ROWS = 2048
+WIDEN = 1.2
+BLOCK_ROWS = 4096
 SEED = 7
 
 
@@ -51,12 +51,17 @@ class Block:
         self.sorted = np.take_along_axis(values.T, self.order, axis=1)
         self.flat = self.order.ravel()
         self.base = np.arange(PROJECTIONS) * len(self.x)
+        # All arrays in one, each shifted beyond the one before: one search serves all windows.
+        low, high = self.sorted[:, 0].min(), self.sorted[:, -1].max()
+        self.shift = np.arange(PROJECTIONS) * (2.0 * (high - low) + 1.0)
+        self.line = (self.sorted + self.shift[:, None]).ravel()
+        self.low, self.high = low - 0.25 * (high - low) - 0.1, high + 0.25 * (high - low) + 0.1
         self.norm = norm
 
     def _window(self, centre: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
-        low = np.array([s.searchsorted(c - half, "left") for s, c in zip(self.sorted, centre, strict=True)])
-        high = np.array([s.searchsorted(c + half, "right") for s, c in zip(self.sorted, centre, strict=True)])
-        return low, high
+        low = self.line.searchsorted(np.clip(centre - half, self.low, self.high) + self.shift, "left")
+        high = self.line.searchsorted(np.clip(centre + half, self.low, self.high) + self.shift, "right")
+        return low - self.base, high - self.base
 
     def _covered(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """Points at the given ranges of the arrays, as often as they stand there."""
