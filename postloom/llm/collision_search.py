@@ -29,7 +29,7 @@ THRESHOLD = 0.7
 #: Share of a block's points that must collide before windows stop growing.
 SHARE = 0.3
 #: Factor of virtual rehashing.
-WIDEN = 1.2
+WIDEN = 1.15
 BLOCK_ROWS = 4096
 SEED = 7
 
@@ -56,6 +56,7 @@ class Block:
         self.shift = np.arange(PROJECTIONS) * (2.0 * (high - low) + 1.0)
         self.line = (self.sorted + self.shift[:, None]).ravel()
         self.low, self.high = low - 0.25 * (high - low) - 0.1, high + 0.25 * (high - low) + 0.1
+        self.first = 0.55 * float(np.median(self.sorted[:, (3 * len(self.x)) // 4] - self.sorted[:, len(self.x) // 4])) or 1e-9
         self.norm = norm
 
     def _window(self, centre: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +66,7 @@ class Block:
 
     def _covered(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """Points at the given ranges of the arrays, as often as they stand there."""
-        n = stops - starts
-        total = int(n.sum())
-        if not total:
-            return np.empty(0, dtype=np.int64)
-        jump = np.repeat(starts - np.r_[0, np.cumsum(n)[:-1]], n)
-        return self.flat[np.arange(total) + jump]
+        return np.concatenate([self.flat[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
 
     def candidates(self, q: np.ndarray) -> np.ndarray:
         """Points that collide with a query often enough."""
@@ -78,8 +74,7 @@ class Block:
         centre = (q * (self.norm / np.sqrt((q**2).sum()))) @ self.axes[:-1]
         need = min(size, int(np.ceil(SHARE * size)) + self.k + 1)
         # Narrower windows than these can hardly hold the threshold share.
-        half = 0.6 * float(np.median(np.abs(self.sorted[:, size // 2] - centre))) + 0.25 * float(np.median(self.sorted[:, (3 * size) // 4] - self.sorted[:, size // 4]))
-        half = half or 1e-9
+        half = self.first
         low, high = self._window(centre, half)
         counts = np.bincount(self._covered(self.base + low, self.base + high), minlength=size)
         while True:
@@ -94,6 +89,10 @@ class Block:
 
     def nearest(self, own: int, q: np.ndarray) -> list[tuple[int, float]]:
         at = self.candidates(q)
+        score = self.x[at] @ q
+        if len(at) > self.k:
+            # The last bits of a matrix product depend on its shape; those near the top are summed again one by one.
+            at = at[score >= np.partition(score, -self.k - 1)[-self.k - 1] - 1e-9 * self.norm * np.sqrt((q**2).sum())]
         score = (self.x[at] * q).sum(axis=1)
         top = np.argsort(-score, kind="stable")
         out: list[tuple[int, float]] = []
