@@ -108,7 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy().astype(float)), pa.array(at, pa.list_(pa.int32()))], ["label", "at"])
 
     sparse = F.udf(lambda at: Vectors.sparse(len(slot), at, ratio[at]), VectorUDT())
-    rows = sample.mapInArrow(vectors, "label double, at array<int>").select("label", sparse("at").alias("features"))
+    # Written in between, so that no task runs two Python workers at a time.
+    rows = stored(sample.mapInArrow(vectors, "label double, at array<int>"), "toxic-slots").select("label", sparse("at").alias("features"))
     fitted = LogisticRegression(regParam=0.0005, maxIter=40, standardization=False).fit(stored(rows, "toxic-vectors"))
     weights = empty.copy()
     weights[slot] = fitted.coefficients.toArray() * ratio
