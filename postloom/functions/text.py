@@ -56,15 +56,16 @@ BEYOND_LATIN_1 = r"[\x80-\xbf\x{100}-\x{10ffff}]"
 def _may_change_under_nfkc() -> str:
     """Regex that finds any character compatibility composition could touch.
 
-    Letters of the European scripts and the unified ideographs that are their
-    own NFKC form and never join the character before them are left out, so
-    most rows need no Python at all.
+    Assigned characters that are their own NFKC form and never join the
+    character before them are left out: not marks, and not the parts of Hangul
+    syllables. So letters, dashes, bullets, quotes and currency signs need no
+    Python at all.
     """
     stable = [
         cp
-        for cp in range(0x80, 0x530)
-        if unicodedata.category(chr(cp))[0] == "L"
-        and unicodedata.combining(chr(cp)) == 0
+        for cp in range(0x80, 0x3000)
+        if unicodedata.category(chr(cp))[0] not in "MC"
+        and not 0x1100 <= cp <= 0x11FF
         and unicodedata.normalize("NFKC", chr(cp)) == chr(cp)
     ]
     ranges: list[list[int]] = []
@@ -131,15 +132,17 @@ def search_url(c: Column, base: str) -> Column:
 
 def resolve_link(href: Column, base: str) -> Column:
     """Absolute address of ``href`` seen from a site root (no dot segments)."""
-    m = re.match(r"^([a-zA-Z][a-zA-Z0-9+.-]*):(//[^/]*)(/.*)?$", base)
+    m = re.match(r"^([a-zA-Z][a-zA-Z0-9+.-]*):(//[^/?#]*)(.*)$", base)
     if not m:
         raise ValueError(f"not an absolute address: {base}")
     scheme, site = m.group(1) + ":", m.group(2)
-    folder = (m.group(3) or "/").rsplit("/", 1)[0] + "/"
+    path = re.split("[?#]", m.group(3))[0] or "/"
+    page, folder = scheme + site + path, path.rsplit("/", 1)[0] + "/"
     return (
         F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
         .when(F.startswith(href, F.lit("//")), F.concat(F.lit(scheme), href))
         .when(F.startswith(href, F.lit("/")), F.concat(F.lit(scheme + site), href))
+        .when((href == "") | href.rlike("^[?#]"), F.concat(F.lit(page), href))
         .otherwise(F.concat(F.lit(scheme + site + folder), href))
     )
 

@@ -14,6 +14,7 @@ from ..functions.labels import class_columns
 from .embed import embed_text
 from .stats import macro_f1
 
+# Weight of a class in the loss.
 CLASS_WEIGHTS = {"JOB": 2.0, "CONTEXT": 1.0, "CONDITIONS": 1.0}
 
 

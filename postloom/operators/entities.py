@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import explode_once
 from ..functions.text import SPACE_CHARS, TOKEN_AND_BLANK, strip
 
 # text -> array<struct<token, ent>>; token carries its trailing blank
@@ -16,35 +15,25 @@ EntityTagger = Callable[[Column], Column]
 REMOVABLE = ("ORG", "PERSON", "GPE")
 
 # Names of technologies that stay although a tagger calls them entities.
-TECH_WHITELIST = tuple(
-    """
-    aws | amazon web services | azure | microsoft azure | gcp | google cloud | google cloud platform
-    oracle | oci | ibm cloud | red hat | vmware | digitalocean | heroku | linode | cloudflare | netlify | vercel
-    snowflake | databricks | bigquery | redshift | athena | glue | emr | lake formation | synapse | powerbi
-    tableau | qlik | looker | superset | airflow | prefect | dbt
-    docker | kubernetes | helm | terraform | ansible | jenkins | gitlab | github | bitbucket | circleci | travisci
-    prometheus | grafana | datadog | new relic | elastic | elk | loki
-    mysql | postgresql | postgres | sqlserver | mssql | mongodb | cassandra | redis | couchbase | dynamodb
-    elasticsearch | neo4j | firebase | hbase | clickhouse | snowplow
-    python | java | javascript | typescript | nodejs | go | golang | rust | ruby | php | scala | r | matlab
-    swift | kotlin | perl | bash | powershell
-    tensorflow | pytorch | keras | scikitlearn | sklearn | huggingface | transformers | bert | sbert | gpt
-    chatgpt | llm | opencv | xgboost | lightgbm | catboost | mlflow | wandb | dvc | ray | optuna | langchain
-    gradio | streamlit
-    talend | informatica | alteryx | sas | sap hana | sap | sas enterprise
-    react | reactjs | nextjs | angular | vue | svelte | bootstrap | tailwind | html | css | sass | less
-    django | flask | fastapi | spring | springboot | express | dotnet | aspnet | laravel | rails | symfony
-    linux | windows | macos | ubuntu | centos | rhel | debian | android | ios
-    git | bamboo | splunk | siem | crowdstrike | sentinelone | paloalto | checkpoint | zscaler
-    jira | confluence | notion | slack | monday | asana | trello
-    salesforce | servicenow | workday | netsuite | autocad | solidworks | unity | unreal | blender
-    """.strip().replace("\n", "|").split("|")
-)
-TECH_WHITELIST = tuple(w.strip() for w in TECH_WHITELIST)
-
-# Up to this many names are written into the plan; more are joined.
-LITERAL_LIMIT = 5_000
-_SALTS = 16
+TECH_WHITELIST = (
+    "aws", "amazon web services", "azure", "microsoft azure", "gcp", "google cloud", "google cloud platform", "oracle",
+    "oci", "ibm cloud", "red hat", "vmware", "digitalocean", "heroku", "linode", "cloudflare", "netlify", "vercel",
+    "snowflake", "databricks", "bigquery", "redshift", "athena", "glue", "emr", "lake formation", "synapse", "powerbi",
+    "tableau", "qlik", "looker", "superset", "airflow", "prefect", "dbt", "docker", "kubernetes", "helm", "terraform",
+    "ansible", "jenkins", "gitlab", "github", "bitbucket", "circleci", "travisci", "prometheus", "grafana", "datadog",
+    "new relic", "elastic", "elk", "loki", "mysql", "postgresql", "postgres", "sqlserver", "mssql", "mongodb",
+    "cassandra", "redis", "couchbase", "dynamodb", "elasticsearch", "neo4j", "firebase", "hbase", "clickhouse",
+    "snowplow", "python", "java", "javascript", "typescript", "nodejs", "go", "golang", "rust", "ruby", "php", "scala",
+    "r", "matlab", "swift", "kotlin", "perl", "bash", "powershell", "tensorflow", "pytorch", "keras", "scikitlearn",
+    "sklearn", "huggingface", "transformers", "bert", "sbert", "gpt", "chatgpt", "llm", "opencv", "xgboost", "lightgbm",
+    "catboost", "mlflow", "wandb", "dvc", "ray", "optuna", "langchain", "gradio", "streamlit", "talend", "informatica",
+    "alteryx", "sas", "sap hana", "sap", "sas enterprise", "react", "reactjs", "nextjs", "angular", "vue", "svelte",
+    "bootstrap", "tailwind", "html", "css", "sass", "less", "django", "flask", "fastapi", "spring", "springboot",
+    "express", "dotnet", "aspnet", "laravel", "rails", "symfony", "linux", "windows", "macos", "ubuntu", "centos",
+    "rhel", "debian", "android", "ios", "git", "bamboo", "splunk", "siem", "crowdstrike", "sentinelone", "paloalto",
+    "checkpoint", "zscaler", "jira", "confluence", "notion", "slack", "monday", "asana", "trello", "salesforce",
+    "servicenow", "workday", "netsuite", "autocad", "solidworks", "unity", "unreal", "blender",
+)
 
 
 def tokens(c: Column) -> Column:
@@ -98,53 +87,28 @@ def strip_tagged(c: Column, tagger: EntityTagger, whitelist: Sequence[str] = TEC
 
 def strip_entities(
     df: DataFrame,
-    gazetteer: DataFrame,
-    keys: Sequence[str] = ("des_id", "par_id"),
+    gazetteer: DataFrame | None,
     text: str = "Description",
     whitelist: Sequence[str] = TECH_WHITELIST,
     mode: str = "token",
     tagger: EntityTagger | None = None,
-    literal_limit: int = LITERAL_LIMIT,
 ) -> DataFrame:
     """Rewrite ``text`` without entity tokens, spacing of the rest kept.
 
-    ``gazetteer`` has one column ``token``. Its size is checked: a short one
-    becomes a literal set and the work stays inside the row. A long one is
-    joined to the tokens; frequent tokens are salted over several tasks.
+    ``gazetteer`` has one column ``token``. The distinct tokens of each distinct
+    text meet the names; what was found comes back by the text's digest and
+    the text is rewritten inside its row. So rows need no key, equal texts are
+    looked up once, texts without a name never move, and null texts stay null.
     """
     if tagger is not None:
         return df.withColumn(text, strip_tagged(F.col(text), tagger, whitelist))
-    names = gazetteer.select(F.lower("token").alias("token")).distinct()
-    head = [r.token for r in names.limit(literal_limit + 1).collect()]
-    if len(head) <= literal_limit:
-        return df.withColumn(
-            text, _kept(tokens(F.col(text)), lambda t: _in_list(_core(t), head), whitelist, mode)
-        )
-    return _strip_by_join(df, names, list(keys), text, whitelist, mode)
-
-
-def _strip_by_join(
-    df: DataFrame, names: DataFrame, keys: list[str], text: str, whitelist: Sequence[str], mode: str
-) -> DataFrame:
-    toks = tokens(F.col(text))
-    cores = F.transform(toks, _core)
-    if mode == "token":
-        single = [w for w in whitelist if " " not in w]
-        safe = F.transform(cores, lambda t: _in_list(t, single))
-    else:
-        safe = F.transform(cores, lambda t, i: _protected(cores, i, whitelist))
-    zipped = F.arrays_zip(toks.alias("tok"), cores.alias("token"), safe.alias("safe"))
-    rows = explode_once(df, keys, zipped, "t", "pos")
-    rows = rows.select(*keys, "pos", "t.tok", "t.token", "t.safe").withColumn(
-        "salt", F.pmod(F.xxhash64(*keys, "pos"), F.lit(_SALTS)).cast("int")
-    )
-    salted = names.select("token", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"), F.lit(True).alias("hit"))
-    marked = rows.join(salted, ["token", "salt"], "left")
-    kept = marked.where(F.col("hit").isNull() | F.col("safe"))
-    # A group is the tokens of one text cell.
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "tok")))
-    cleaned = kept.groupBy(*keys).agg(
-        strip(F.array_join(F.transform(ordered, lambda s: s["tok"]), "")).alias("_clean")
-    )
-    out = df.join(cleaned, keys, "left")
-    return out.withColumn(text, F.coalesce("_clean", F.lit(""))).select(*df.columns)
+    names = gazetteer.select(F.lower("token").alias("_token")).where("_token is not null").distinct()
+    digest = F.md5(F.col(text).cast("binary"))
+    cores = F.array_distinct(F.transform(tokens(F.col(text)), _core))
+    own = df.select(digest.alias("_digest"), cores.alias("_cores")).where(F.size("_cores") > 0)
+    seen = own.select("_digest", F.explode("_cores").alias("_token"))
+    hits = seen.join(names, "_token").groupBy("_digest").agg(F.collect_set("_token").alias("_hits"))
+    met = df.withColumn("_digest", digest).join(hits, "_digest", "left")
+    kept = _kept(tokens(F.col(text)), lambda t: F.array_contains("_hits", _core(t)), whitelist, mode)
+    plain = strip(F.array_join(tokens(F.col(text)), ""))
+    return met.withColumn(text, F.when(F.col("_hits").isNull(), plain).otherwise(kept)).select(*df.columns)

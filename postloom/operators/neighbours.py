@@ -172,7 +172,7 @@ def _plan(reps: DataFrame, leaf_rows: int, max_leaves: int) -> Leaves:
         return cut_space(np.zeros((0, width)), 1)
     take = min(n, 256 * wanted, SAMPLE_CELLS // width)
     share = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(take / n * (1 << 20)) + 1
-    sample = _matrix(reps.where(share).select("v").limit(2 * take).toPandas()["v"])
+    sample = _matrix(reps.where(share).select("v").toPandas()["v"])
     return cut_space(sample, wanted)
 
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -24,14 +25,18 @@ from ..functions.vectors import l2_normalize
 from ..session import settle
 
 
+def english_stop_words() -> list[str]:
+    return StopWordsRemover.loadDefaultStopWords("english")
+
+
 # --- terms -----------------------------------------------------------------------
 
 
-def topic_tokens(c: Column, stop_words: Sequence[str]) -> Column:
-    """Lower-case ASCII tokens of two or more characters, stop words out."""
+def topic_tokens(c: Column, stop_words: Sequence[str] | None = None) -> Column:
+    """Lower-case ASCII tokens of two or more characters, stop words (English by default) out."""
     plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9\\s]+", "")
     found = F.regexp_extract_all(plain, F.lit("[a-z0-9]{2,}"), F.lit(0))
-    stops = sorted(set(stop_words))
+    stops = sorted(set(english_stop_words() if stop_words is None else stop_words))
     return F.filter(found, lambda t: ~t.isin(stops)) if stops else found
 
 
@@ -75,7 +80,7 @@ def counted(items: Column) -> Column:
 
 
 def document_terms(
-    docs: DataFrame, key: Sequence[str] = ("doc_id",), n: tuple[int, int] = (1, 3), stop_words: Sequence[str] = ()
+    docs: DataFrame, key: Sequence[str] = ("doc_id",), n: tuple[int, int] = (1, 3), stop_words: Sequence[str] | None = None
 ) -> DataFrame:
     """(key, topic, term, tf); a document is one row, so counting needs no shuffle."""
     grams = ngrams(topic_tokens(F.col("text"), stop_words), *n)
@@ -87,7 +92,7 @@ def topic_terms(
     n: tuple[int, int] = (1, 3),
     min_df: float = 0.1,
     max_df: float = 0.8,
-    stop_words: Sequence[str] = (),
+    stop_words: Sequence[str] | None = None,
 ) -> DataFrame:
     """(topic, term, tf) of the terms that occur in enough, but not too many topics."""
     grams = ngrams(topic_tokens(F.col("text"), stop_words), *n)

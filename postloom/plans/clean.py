@@ -68,12 +68,10 @@ def clean_corpus(
     jobs = job_only(label_paragraphs(normalized_docs(unique, key), scorer, **segment_options)).drop("prediction")
     if maintain_paragraphs:
         kept = keep_long_posts(jobs, min_word_count).withColumnRenamed("text", "Description")
-        keys = ["des_id", "par_id"]
     else:
         kept = min_words(join_paragraphs(jobs), min_word_count)
-        keys = ["des_id"]
     if clean_sentences and (gazetteer is not None or tagger is not None):
-        kept = strip_entities(kept, gazetteer, keys=keys, tagger=tagger)
+        kept = strip_entities(kept, gazetteer, tagger=tagger)
     kept = kept.withColumn("Description", normalize_text(F.col("Description")))
     if maintain_paragraphs:
         return kept.select("des_id", "par_id", "Description")

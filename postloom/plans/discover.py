@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..operators import topics as T
 from ..operators.embed import Encoder, as_array, embed_text, reduce_dims
 from ..operators.neighbours import density_cluster
@@ -26,9 +27,19 @@ class Topics:
     vectors: DataFrame
 
 
+def without_blanks(rows: DataFrame) -> DataFrame:
+    """Paragraphs with text; a post without any keeps its first one, empty."""
+    full = strip(F.col("text")) != ""
+    first = F.min(F.struct((~full).alias("blank"), "par_id")).over(Window.partitionBy("des_id"))
+    kept = rows.withColumn("_first", first).where(full | (F.col("_first.blank") & (F.col("par_id") == F.col("_first.par_id"))))
+    return kept.drop("_first")
+
+
 def embedded_documents(paras: DataFrame, mean: bool, encoder: Encoder | None, features: int) -> DataFrame:
     """(doc_id, des_id, par_id, text, embedding), one row per document."""
     rows = require_columns(paras).select("des_id", "par_id", F.coalesce("Description", F.lit("")).alias("text"))
+    if mean:
+        rows = without_blanks(rows)
     vectors = embed_text(rows, "text", encoder, features=features)
     if not mean:
         return T.with_uid(vectors).withColumnRenamed("par_uid", "doc_id")
@@ -53,7 +64,7 @@ def discover_topics(
     min_cluster_size: int = 50,
     min_samples: int = 15,
     epsilon: float = 0.1,
-    stop_words: Sequence[str] = (),
+    stop_words: Sequence[str] | None = None,
 ) -> Topics:
     """Embed, reduce, cluster and describe paragraphs (or pooled posts).
 

@@ -873,7 +873,7 @@ def _align_spans(spark, d):
     return spans.align_spans(docs)
 
 
-_NAME_LIST = "names AS (SELECT list(token) AS g FROM gazetteer WHERE md5(token) >= '4')"
+_NAME_LIST = "names AS (SELECT list(token) AS g FROM gazetteer)"
 
 
 def _sql_strip_names(x: str) -> str:
@@ -891,9 +891,7 @@ def _sql_strip_names(x: str) -> str:
     + f", {_NAME_LIST} SELECT des_id, par_id, {_sql_strip_names('text')} AS text FROM paras, names",
 )
 def _strip_entities(spark, d):
-    # Part of the gazetteer plays the whitelist, so it is taken out of the names.
-    names = views.gazetteer(spark, d).where(F.md5(F.encode("token", "UTF-8")) >= "4")
-    return entities.strip_entities(views.paras(spark, d), names, text="text")
+    return entities.strip_entities(views.paras(spark, d), views.gazetteer(spark, d), text="text")
 
 
 # --- classification ----------------------------------------------------------------------
@@ -1158,14 +1156,14 @@ def _checkpoint_by_term(spark, d):
 
 @query(
     "save_vectors",
-    with_views("SELECT des_id, par_id, round(CAST(embedding[1] AS DOUBLE), 6) AS first, CAST(len(embedding) AS INT) AS n FROM vectors", "vectors"),
+    with_views("SELECT des_id, par_id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS embedding FROM vectors", "vectors"),
 )
 def _save_vectors(spark, d):
     path = scratch_path(spark, "vectors")
     files.save_vectors(views.vectors(spark, d), path)
     rows = spark.read.parquet(path)
     return rows.select(
-        "des_id", "par_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.size("embedding").alias("n")
+        "des_id", "par_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding")
     )
 
 
@@ -1207,7 +1205,7 @@ def _score_paragraphs(spark, d):
     return scored.select("des_id", "par_id", *probs, "pred")
 
 
-@query("class_columns")
+@query("class_columns", with_views("SELECT des_id, par_id, CAST(0.75 AS DOUBLE) AS prob_job, CAST(0.25 AS DOUBLE) AS prob_blurb_legal, CAST(0.0 AS DOUBLE) AS prob_offer_detail FROM paras", "paras"))
 def _class_columns(spark, d):
     # Two known classes, the third is absent and gets zeros.
     probability = array_to_vector(F.array(F.lit(0.25), F.lit(0.75)))
@@ -1245,7 +1243,7 @@ _DIST = "sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]
     ),
 )
 def _knn_graph(spark, d):
-    return neighbours.knn_graph(views.blobs(spark, d)).withColumn("distance", F.round("distance", 6))
+    return neighbours.knn_graph(views.blobs(spark, d), leaf_rows=100).withColumn("distance", F.round("distance", 6))
 
 
 _DENSITY = {
@@ -1267,7 +1265,7 @@ _DENSITY = {
     ),
 )
 def _density_cluster(spark, d):
-    return neighbours.density_cluster(views.blobs(spark, d))
+    return neighbours.density_cluster(views.blobs(spark, d), leaf_rows=100)
 
 
 @query("discover_topics")

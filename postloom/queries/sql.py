@@ -81,8 +81,8 @@ VIEWS["posts"] = """
 SELECT doc_id AS row_key, concat('run_', lang, '.csv') AS source_file,
   CASE WHEN doc_id % 7 = 0 THEN concat(source, ' | ', lang) ELSE source END AS SearchTerm,
   CASE WHEN doc_id % 41 = 0 THEN NULL ELSE split_part(text, chr(10), 1) END AS Title,
-  text AS Description, string_split(text, chr(10))[2:5] AS quals,
-  array_to_string(string_split(text, chr(10))[2:5], ' | ') AS Qualifications,
+  text AS Description, string_split(text, chr(10))[2:] AS quals,
+  array_to_string(string_split(text, chr(10))[2:], ' | ') AS Qualifications,
   CASE WHEN doc_id % 50 = 0 THEN '' ELSE concat('https://jobs.example.org/job/', md5(split_part(text, chr(10), 1))) END AS Link
 FROM documents"""
 VIEWS["clean_posts"] = f"""

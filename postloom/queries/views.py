@@ -37,7 +37,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("SearchTerm"),
         F.when(F.col("doc_id") % 41 != 0, title).alias("Title"),
         F.col("text").alias("Description"),
-        F.slice(F.split("text", "\n"), 2, 4).alias("Qualifications"),
+        F.expr("slice(split(text, '\n'), 2, greatest(size(split(text, '\n')) - 1, 0))").alias("Qualifications"),
         F.when(F.col("doc_id") % 50 == 0, "")
         .otherwise(F.concat(F.lit("https://jobs.example.org/job/"), F.md5(F.encode(title, "UTF-8"))))
         .alias("Link"),

@@ -2,11 +2,9 @@
 
 from pyspark.sql import types as T
 
+# Columns of the run files and counters of the reports.
 POST_COLUMNS = ("SearchTerm", "Title", "Description", "Qualifications", "Link")
 
-# Flat posting as it lies in a run file: Qualifications is already joined text.
-FLAT_POST = T.StructType([T.StructField(c, T.StringType()) for c in POST_COLUMNS])
-
 PARAGRAPH_COLUMNS = ("des_id", "par_id", "Description")
 
 STAT_COLUMNS = (

@@ -14,12 +14,14 @@ _local_fallback: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
-    Only a session that names none (a test on one machine) gets a fresh
-    temporary folder.
+    A session on one machine that names none gets a fresh temporary folder; on
+    a cluster that would be one machine's own disk, so there it is an error.
     """
     named = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
     if not _local_fallback:
         _local_fallback.append(tempfile.mkdtemp(prefix="postloom-"))
     return _local_fallback[0]
@@ -39,10 +41,10 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-bound work every core when the input came in too few splits.
+    """Give CPU-bound work every core when the input came in fewer splits than cores.
 
-    A small file with one row group is one task's work, although it may count
-    as several splits. Inputs wide enough to fill the cores pass unchanged.
+    A small file with one row group is one task's work. The number of splits
+    never falls; larger inputs are split at the read and pass unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

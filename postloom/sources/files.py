@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,14 +19,17 @@ from ..schema import CLASS_ANNOTATION, PARAGRAPH_COLUMNS, POST_COLUMNS, RUN_REPO
 # Cell contents that count as missing.
 NULL_TOKENS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "#N/A", "<NA>")
 
+#: Bits of a row key that count the rows of a file; the 39 above them come from its path.
+_ROW_BITS = 24
 
 # --- reading run files -----------------------------------------------------------
 
 
 def list_run_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """(file, columns): the header cells of every matching file.
+    """(file, columns, has_rows): the header cells of every matching file.
 
-    Only the first line of each file is opened; unreadable files get null.
+    Only the beginning of each file is opened, up to its first row; unreadable
+    files get null. has_rows says whether anything but blanks follows the header.
     """
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(pattern)
@@ -34,28 +37,31 @@ def list_run_files(spark: SparkSession, pattern: str) -> DataFrame:
     statuses = fs.globStatus(path) or []
     files = sorted(s.getPath().toString() for s in statuses if s.isFile())
 
-    def header(name: str) -> tuple[str, list[str] | None]:
+    def header(name: str) -> tuple[str, list[str] | None, bool]:
         try:
             stream = fs.open(jvm.org.apache.hadoop.fs.Path(name))
             try:
                 reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-                line = reader.readLine()
+                line = after = reader.readLine()
+                while after is not None and (after is line or not after.strip()):
+                    after = reader.readLine()
             finally:
                 stream.close()
         except Exception:
-            return name, None
-        return name, next(csv.reader([(line or "").lstrip("﻿")]), [])
+            return name, None, False
+        return name, next(csv.reader([(line or "").lstrip("﻿")]), []), after is not None
 
     with ThreadPoolExecutor(16) as pool:
         rows = list(pool.map(header, files))
-    return spark.createDataFrame(rows, "file string, columns array<string>")
+    return spark.createDataFrame(rows, "file string, columns array<string>, has_rows boolean")
 
 
 def validate_columns(files: DataFrame, expected: Sequence[str] = POST_COLUMNS) -> DataFrame:
-    """(file, missing, usable) for a listing with ``columns``."""
+    """(file, missing, usable) for a listing with ``columns``, and maybe ``has_rows``: a file without rows is of no use."""
     want = F.array(*[F.lit(c) for c in expected])
     missing = F.array_except(want, F.coalesce("columns", F.array().cast("array<string>")))
-    return files.select("file", missing.alias("missing"), (F.size(missing) == 0).alias("usable"))
+    filled = F.col("has_rows") if "has_rows" in files.columns else F.lit(True)
+    return files.withColumn("missing", missing).select("file", "missing", ((F.size("missing") == 0) & filled).alias("usable"))
 
 
 def require_columns(df: DataFrame, expected: Sequence[str] = PARAGRAPH_COLUMNS) -> DataFrame:
@@ -75,6 +81,8 @@ def read_runs(
 
     Files that miss a column are left out (``validate_columns`` tells which).
     Files are read together per header layout, whatever the column order.
+    row_key names a row by the file's full path and its place in the file: it is
+    the same on every read, unlike in other files, and grows down the file.
     """
     listing = list_run_files(spark, pattern).collect()
     layouts: dict[tuple[str, ...], list[str]] = {}
@@ -95,11 +103,16 @@ def read_runs(
         )
         return rows.select(
             F.col("_metadata.file_name").alias("source_file"),
-            F.monotonically_increasing_id().alias("row_key"),
+            F.col("_metadata.file_path").alias("_path"),
+            F.monotonically_increasing_id().alias("_at"),
             *[value(c) for c in expected],
         )
 
-    return reduce(lambda a, b: a.unionByName(b), [read(k, v) for k, v in layouts.items()])
+    rows = reduce(lambda a, b: a.unionByName(b), [read(k, v) for k, v in layouts.items()])
+    # A file with multi-line cells is one split, so its rows are numbered without gaps in their order.
+    place = F.col("_at") - F.min("_at").over(Window.partitionBy("_path"))
+    key = F.shiftleft(F.shiftrightunsigned(F.xxhash64("_path"), 25), _ROW_BITS).bitwiseOR(place)
+    return rows.withColumn("row_key", key).select("source_file", "row_key", *expected)
 
 
 # --- writing posts ---------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,27 +51,62 @@ def element(html: Column, tag: str) -> Column:
     return F.regexp_extract(html, f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)(?:</{tag}>|\\z)", 1)
 
 
+def selected(html: Column, tag: str, attribute: str, value: str) -> Column:
+    """Content of the first ``tag`` whose ``attribute`` is ``value``, in any quotes; to its first closing tag, or the end."""
+    mark = f"""{re.escape(attribute)}\\s*=\\s*(?:"{re.escape(value)}"|'{re.escape(value)}'|{re.escape(value)}(?=[\\s>]))"""
+    return F.regexp_extract(html, f"(?is)<{tag}\\s(?:[^>]*?\\s)?{mark}[^>]*>(.*?)(?:</{tag}>|\\z)", 1)
+
+
 def elements(html: Column, tag: str) -> Column:
     return F.regexp_extract_all(html, F.lit(f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
 
 
+# A tag name, or a tag with an attribute and its value.
+Selector = str | tuple[str, str, str]
+
+
+def _content(html: Column, selector: Selector) -> Column:
+    return element(html, selector) if isinstance(selector, str) else selected(html, *selector)
+
+
 def extract_pages(
-    pages: DataFrame, title_tag: str = "h1", body_tag: str = "article", item_tag: str = "li"
+    pages: DataFrame, title: Selector = "h1", body: Selector = "article", items: Selector | None = None, item_tag: str = "li"
 ) -> DataFrame:
-    """(page_id, Title, Description, Qualifications, Link) per stored page."""
+    """(page_id, Title, Description, Qualifications, Link) per stored page.
+
+    title, body and items (the element around the list items, the page by
+    default) are tag names or (tag, attribute, value).
+    """
     seen = F.regexp_replace("html", UNSEEN, "")
-    body = element(F.regexp_replace(seen, BOILERPLATE, ""), body_tag)
+    text = _content(F.regexp_replace(seen, BOILERPLATE, ""), body)
+    listed = seen if items is None else _content(seen, items)
     return pages.select(
         "page_id",
-        inner_text(element(seen, title_tag)).alias("Title"),
-        inner_text(body).alias("Description"),
-        dedupe_qualifications(F.transform(elements(seen, item_tag), inner_text)).alias("Qualifications"),
+        inner_text(_content(seen, title)).alias("Title"),
+        inner_text(text).alias("Description"),
+        dedupe_qualifications(F.transform(elements(listed, item_tag), inner_text)).alias("Qualifications"),
         F.col("url").alias("Link"),
     )
 
 
-def extract_links(pages: DataFrame, base: str, pattern: str = r'(?i)<a\s[^>]*?href="([^"]+)"') -> DataFrame:
-    """(page_id, pos, link): absolute links of a page, each once, in order."""
-    hrefs = F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
+# The start of a link element and its address in either quotes or none.
+HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+#: Schemes that lead to no page.
+NO_PAGE = r"(?i)^(?:mailto|javascript|tel|data):"
+
+
+def extract_links(pages: DataFrame, base: str, within: tuple[str, str, str] | None = None, only: str | None = None) -> DataFrame:
+    """(page_id, pos, link): absolute links of a page, each once, in order.
+
+    ``within`` (tag, attribute, value) looks only inside the first such element;
+    ``only`` is a pattern that an address must match, e.g. ``/job/``. References
+    in addresses are decoded, empty addresses and those that lead to no page dropped.
+    """
+    html = F.col("html") if within is None else selected(F.col("html"), *within)
+    quoted = [F.regexp_extract_all(html, F.lit(HREF), F.lit(i)) for i in (1, 2, 3)]
+    both = lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y))
+    hrefs = both(both(quoted[0], quoted[1]), quoted[2])
+    hrefs = F.transform(hrefs, lambda h: strip(decode_entities(h)))
+    hrefs = F.filter(hrefs, lambda h: (h != "") & ~h.rlike(NO_PAGE) & (h.rlike(only) if only else F.lit(True)))
     links = dedupe_links(F.transform(hrefs, lambda h: resolve_link(h, base)))
     return explode_once(pages, ["page_id"], links, "link", "pos")

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.dedupe import dedupe_posts
 from ..operators.filters import drop_missing
@@ -25,10 +24,10 @@ _TEXTS = ("Title", "Description", "Qualifications")
 
 def _earlier(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
     """What batches before ``batch`` wrote, or None at the beginning."""
-    try:
-        return spark.read.parquet(path).where(F.col("batch") < batch)
-    except AnalysisException:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
         return None
+    return spark.read.parquet(path).where(F.col("batch") < batch)
 
 
 # --- merge -----------------------------------------------------------------------

@@ -71,7 +71,20 @@ def test_run_files(spark, tmp_path):
     assert got == {"r1.csv": ("BI", 'A, "b"', "line 1\nline 2", None, "L1"), "r2.csv": ("BI", "T2", None, "q", "L2")}
     checked = {r.file.rsplit("/", 1)[1]: r for r in files.validate_columns(files.list_run_files(spark, f"{tmp_path}/r*.csv")).collect()}
     assert checked["r3.csv"].missing == ["SearchTerm", "Description", "Qualifications"]
-    assert [n for n, r in sorted(checked.items()) if r.usable] == ["r1.csv", "r2.csv", "r4.csv"]
+    assert [n for n, r in sorted(checked.items()) if r.usable] == ["r1.csv", "r2.csv"]  # r4 has a header only
+
+
+def test_row_keys_are_stable_and_unique(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "run.csv").write_text("SearchTerm,Title,Description,Qualifications,Link\n" + "".join(f"s,t{i},d,q,L{i}\n" for i in range(5)))
+    (tmp_path / "b" / "other.csv").write_text("Link,Title,Description,Qualifications,SearchTerm\nL0,t0,d,q,s\nL0,t0,d,q,s\n")
+    once, again = (
+        sorted((r.source_file, r.row_key, r.Title) for r in files.read_runs(spark, f"{tmp_path}/*/*.csv").collect()) for _ in range(2)
+    )
+    assert once == again and len({k for _, k, _ in once}) == 12
+    for run in {r[1] >> 24 for r in once}:
+        assert [t for _, k, t in sorted(once, key=lambda r: r[1]) if k >> 24 == run][:1] == ["t0"]
 
 
 def test_flat_posts_round_trip(spark):

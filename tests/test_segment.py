@@ -10,54 +10,6 @@ from postloom.operators.spans import align_spans
 S = " ".join
 
 
-def brute(doc, threshold=120, max_words=320, per=3, sep="\n\n"):
-    """The sequential rules, one document at a time."""
-
-    def sents(t):
-        t = t.strip()
-        return [] if not t else [s for s in re.sub(r"([.!?…]+)\s+", "\\1\x01", t).split("\x01") if s.strip()]
-
-    def header(line):
-        b = line.strip()
-        return bool(b) and (len(b.split()) <= 3 or b.endswith(":"))
-
-    lines = doc.split("\n")
-    starts = sorted({0, *[i for i, x in enumerate(lines) if header(x)]})
-    out, held = [], []
-    for a, b in zip(starts, starts[1:] + [len(lines)]):
-        seg = "\n".join(lines[a:b])
-        if len(sents(seg)) <= 1:
-            held.append(seg)
-            continue
-        text = "\n".join(held + [seg]).strip()
-        held = []
-        if len(re.findall(r"\w+|[^\w\s]", text)) < threshold:
-            out.append(text)
-            continue
-        parts = [p.strip() for p in text.split(sep) if p.strip()]
-        keep = []
-        for i, p in enumerate(parts):
-            keep.append(p)
-            if len(sents(p)) <= 2 and i < len(parts) - 1:
-                continue
-            full = "\n".join(keep)
-            keep = []
-            if len(full.split()) <= max_words:
-                out.append(full)
-                continue
-            buf, n = [], 0
-            for s in (x.strip() for x in sents(full)):
-                w = len(s.split())
-                if buf and (n + w > threshold or len(buf) >= per):
-                    out.append(" ".join(buf))
-                    buf, n = [], 0
-                buf.append(s)
-                n += w
-            out.append(" ".join(buf))
-    tail = "\n".join(held).strip()
-    return out + ([tail] if tail else [])
-
-
 def run(spark, docs, **kw):
     df = spark.createDataFrame(list(enumerate(docs)), "des_id bigint, Description string")
     got = {}
@@ -81,11 +33,27 @@ def test_special_documents(spark):
     assert got[0] == [] and got[1] == [] and got[5] == []
     assert got[2] == ["Title\nOther\nLast"]
     assert got[3] == ["About us\nWe do things. We do more.", "Benefits"]
-    assert all(p for p in got[4])
-    assert got[4] == brute(docs[4])
+    # The first sentence is over the limit by itself, so it is a paragraph of its own.
+    assert got[4] == [long_sentence, "Next one.", S(["more"] * 200) + "."]
 
 
-def test_against_the_sequential_rules(spark):
+def test_worked_examples(spark):
+    short = "One two three four. Five six seven eight."
+    docs = [
+        f"Duties:\n{short}",  # a header leads its text
+        f"{short}\nDuties\n{short}",  # and opens a new paragraph
+        f"Team\nDuties\n{short}",  # headers in a row stay together
+        f"Duties\n{short}\nTail:",  # the last one has nothing to lead
+    ]
+    assert run(spark, docs) == [
+        [f"Duties:\n{short}"],
+        [short, f"Duties\n{short}"],
+        [f"Team\nDuties\n{short}"],
+        [f"Duties\n{short}", "Tail:"],
+    ]
+
+
+def test_properties_of_paragraphs(spark):
     rnd = random.Random(5)
 
     def doc():
@@ -104,7 +72,13 @@ def test_against_the_sequential_rules(spark):
 
     docs = [doc() for _ in range(60)]
     for sep in ("\n\n", "\n"):
-        assert run(spark, docs, para_sep=sep) == [brute(d, sep=sep) for d in docs]
+        for text, paragraphs in zip(docs, run(spark, docs, para_sep=sep)):
+            # Nothing is lost, added or moved, and nothing is blank.
+            assert S(paragraphs).split() == text.split()
+            assert all(p.strip() for p in paragraphs)
+            for p in paragraphs:
+                # A paragraph beyond the word bound is one sentence that cannot be cut.
+                assert len(p.split()) <= 320 or len(re.findall(r"[.!?…]+\s", p)) == 0
 
 
 def test_no_word_is_lost(spark):
@@ -134,7 +108,7 @@ def test_align_spans(spark):
     assert got == [(0, 1), (1, 2), (2, 3), (3, 4)]
 
 
-def test_strip_entities_both_ways(spark):
+def test_strip_entities(spark):
     df = spark.createDataFrame(
         [
             (1, 0, "Amazon Web Services and Acme, in  Paris use Python."),
@@ -151,10 +125,18 @@ def test_strip_entities_both_ways(spark):
 
     want = ["and , in  use Python.", "", "", "nothing to do"]
     assert texts() == want
-    assert texts(literal_limit=0) == want  # the joined form
     want[0] = "Amazon Web Services and , in  use Python."
     assert texts(mode="phrase") == want
-    assert texts(mode="phrase", literal_limit=0) == want
+
+
+def test_strip_entities_needs_no_keys(spark):
+    rows = [(1, "ab london cd"), (1, "xy london zw"), (None, "keep me"), (None, "ab london cd"), (2, None), (2, "")]
+    df = spark.createDataFrame(rows, "des_id bigint, Description string")
+    few = spark.createDataFrame([("london",), (None,), ("paris",)], "token string")
+    many = few.union(spark.range(6000).selectExpr("concat('name', id)"))
+    want = sorted([(1, "ab cd"), (1, "xy zw"), (None, "keep me"), (None, "ab cd"), (2, None), (2, "")], key=str)
+    for names in (few, many):
+        assert sorted((tuple(r) for r in strip_entities(df, names).collect()), key=str) == want
 
 
 def test_tagger_slot(spark):
