@@ -4,7 +4,8 @@ One random projection is one sorted array of values. A query looks at a window
 centred on its own projection in every array; a vector collides once for each
 window that holds it. Virtual rehashing widens all windows by one factor until
 enough vectors of the block collide in a threshold share of the arrays; these are verified
-with exact inner products. Only the newly covered ends of the windows are counted.
+with exact inner products. A window is a range of places in the sorted array, and a
+collision is a place inside it.
 
 Inner products become distances by one more component, sqrt(M^2 - |x|^2) with M
 the largest norm. The table is dealt into blocks by hash; each task sorts one
@@ -47,10 +48,14 @@ class Block:
         extra = np.sqrt(np.maximum(norm**2 - (self.x**2).sum(axis=1), 0.0))
         self.axes = np.random.default_rng(SEED).standard_normal((x.shape[1] + 1, PROJECTIONS))
         values = self.x @ self.axes[:-1] + extra[:, None] * self.axes[-1]
-        self.order = np.argsort(values, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(values.T, self.order, axis=1)
-        self.flat = self.order.ravel()
+        order = np.argsort(values, axis=0, kind="stable").T
+        self.sorted = np.take_along_axis(values.T, order, axis=1)
+        # Place of every point in every array: a point collides where its place lies in the window.
+        self.place = np.empty((PROJECTIONS, len(self.x)), dtype=np.min_scalar_type(len(self.x)))
+        np.put_along_axis(self.place, order, np.arange(len(self.x), dtype=self.place.dtype)[None, :], axis=1)
+        self.beyond, self.inside = np.empty_like(self.place), np.empty(self.place.shape, dtype=bool)
         self.base = np.arange(PROJECTIONS) * len(self.x)
+        self.widened = 0
         # All arrays in one, each shifted beyond the one before: one search serves all windows.
         low, high = self.sorted[:, 0].min(), self.sorted[:, -1].max()
         self.shift = np.arange(PROJECTIONS) * (2.0 * (high - low) + 1.0)
@@ -64,32 +69,39 @@ class Block:
         high = self.line.searchsorted(np.clip(centre + half, self.low, self.high) + self.shift, "right")
         return low - self.base, high - self.base
 
-    def _covered(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """Points at the given ranges of the arrays, as often as they stand there."""
-        return np.concatenate([self.flat[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
+    def _colliding(self, centre: np.ndarray, times: int) -> np.ndarray:
+        """Points in enough of the windows after so many widenings."""
+        low, high = self._window(centre, self.first * WIDEN**times)
+        kind = self.place.dtype
+        # Places before a window wrap around to numbers beyond its width.
+        np.subtract(self.place, low.astype(kind)[:, None], out=self.beyond)
+        np.less(self.beyond, (high - low).astype(kind)[:, None], out=self.inside)
+        return self.inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= THRESHOLD * PROJECTIONS
 
     def candidates(self, q: np.ndarray) -> np.ndarray:
-        """Points that collide with a query often enough."""
+        """Points that collide with a query often enough, in the first windows that hold enough of them.
+
+        Wider windows hold whatever narrower ones do, so the search for those windows
+        may start from the ones that served the query before: the result is the same.
+        """
         size = len(self.x)
         centre = (q * (self.norm / np.sqrt((q**2).sum()))) @ self.axes[:-1]
         need = min(size, int(np.ceil(SHARE * size)) + self.k + 1)
-        # Narrower windows than these can hardly hold the threshold share.
-        half = self.first
-        low, high = self._window(centre, half)
-        counts = np.bincount(self._covered(self.base + low, self.base + high), minlength=size)
-        while True:
-            found = counts >= THRESHOLD * PROJECTIONS
-            if found.sum() >= need or (low == 0).all() and (high == size).all():
-                return np.flatnonzero(found)
-            half *= WIDEN
-            wider, higher = self._window(centre, half)
-            fresh = self._covered(np.r_[self.base + wider, self.base + high], np.r_[self.base + low, self.base + higher])
-            counts += np.bincount(fresh, minlength=size)
-            low, high = wider, higher
+        times = self.widened
+        found = self._colliding(centre, times)
+        if np.count_nonzero(found) < need:
+            while np.count_nonzero(found) < need:
+                times += 1
+                found = self._colliding(centre, times)
+        else:
+            while times and np.count_nonzero(narrower := self._colliding(centre, times - 1)) >= need:
+                times, found = times - 1, narrower
+        self.widened = times
+        return np.flatnonzero(found)
 
     def nearest(self, own: int, q: np.ndarray) -> list[tuple[int, float]]:
         at = self.candidates(q)
-        score = self.x[at] @ q
+        score = self.x.take(at, axis=0) @ q
         if len(at) > self.k:
             # The last bits of a matrix product depend on its shape; those near the top are summed again one by one.
             at = at[score >= np.partition(score, -self.k - 1)[-self.k - 1] - 1e-9 * self.norm * np.sqrt((q**2).sum())]
