@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -84,3 +84,14 @@ def discover_topics(
     membership = T.topic_membership(placed)
     documents = T.document_info(placed.select("doc_id", "des_id", "par_id", "text"), membership, info, representatives)
     return Topics(info, documents, T.topic_mean_probability(membership, info), weights, placed.select("doc_id", "v", "topic"))
+
+
+def save_topics(topics: Topics, path: str) -> None:
+    """One Parquet table per part below ``path``; parts that are there are replaced."""
+    for part in fields(Topics):
+        getattr(topics, part.name).write.mode("overwrite").parquet(f"{path}/{part.name}")
+
+
+def load_topics(spark: SparkSession, path: str) -> Topics:
+    """What ``save_topics`` wrote; a missing part is an error."""
+    return Topics(**{part.name: spark.read.parquet(f"{path}/{part.name}") for part in fields(Topics)})
