@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from postloom.llm.collision_search import search
+from postloom.llm.collision_search import PROJECTIONS, SHARE, THRESHOLD, WIDEN, Block, search
 
 SCHEMA = "vec_id bigint, embedding array<float>, score string, block int"
 
@@ -50,3 +51,24 @@ def test_ties_copies_and_unusable_rows(spark):
     assert run(spark, [(0, same), (1, same)], k=20) == {0: [(1, 9.0)]}  # fewer candidates than asked for
     assert run(spark, [(0, same), (5, [1.0, 1.0])]) == {}  # no vector of the same length
     assert run(spark, []) == {}
+
+
+@pytest.mark.parametrize("size", [1, 2, 255, 256, 700])
+def test_candidates_are_those_in_enough_windows(size):
+    """Places of any width; the windows that served the query before do not change the result."""
+    rng = np.random.default_rng(size)
+    x = rng.standard_normal((size, 8))
+    block = Block(np.arange(size), x, float(np.sqrt((x**2).sum(axis=1)).max()), 5)
+    values = np.empty((PROJECTIONS, size))
+    np.put_along_axis(values, block.place.argsort(axis=1), block.sorted, axis=1)
+    need = min(size, int(np.ceil(SHARE * size)) + 6)
+    for q in rng.standard_normal((20, 8)):
+        centre = (q * (block.norm / np.sqrt((q**2).sum()))) @ block.axes[:-1]
+        half, found = block.first, np.zeros(size, dtype=bool)
+        for times in range(200):
+            half = block.first * WIDEN**times
+            low, high = np.clip(centre - half, block.low, block.high), np.clip(centre + half, block.low, block.high)
+            found = ((values >= low[:, None]) & (values <= high[:, None])).sum(axis=0) >= THRESHOLD * PROJECTIONS
+            if found.sum() >= need:
+                break
+        assert block.candidates(q).tolist() == np.flatnonzero(found).tolist()
