@@ -8,7 +8,8 @@ with exact inner products. A window is a range of places in the sorted array, an
 collision is a place inside it.
 
 Inner products become distances by one more component, sqrt(M^2 - |x|^2) with M
-the largest norm. The table is dealt into blocks by hash; each task sorts one
+the largest norm of the block. Vectors of like norms are dealt into blocks by hash,
+so a few long vectors do not flatten the projections of the others; each task sorts one
 block's arrays and streams all queries past it, so its memory is one block. Equal
 vectors of a block are one point that carries its smallest ids.
 """
@@ -24,15 +25,17 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS = 64
+PROJECTIONS = 96
 #: Share of the arrays in which a candidate collides.
 THRESHOLD = 0.7
 #: Share of a block's points that must collide before windows stop growing.
 SHARE = 0.3
 #: Factor of virtual rehashing.
-WIDEN = 1.15
-BLOCK_ROWS = 4096
+WIDEN = 1.12
+BLOCK_ROWS = 2048
 SEED = 7
+#: Norms within a factor of 2 ** (1 / 4) share blocks; those below 2 ** -16 of the largest share the last band.
+BANDS_AN_OCTAVE, BANDS = 4, 65
 
 
 class Block:
@@ -138,10 +141,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int
     clean = lambda df: df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v"))).distinct()
     data, asked = clean(vectors), clean(queries)
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    rows, norm = data.agg(F.count("*"), F.sqrt(F.max(square))).head()
-    blocks = max(1, -(-rows // block_rows))
-    norm = float(norm or 0.0)
-    own = data.select(F.size("v").alias("dims"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"), "vec_id", "v")
+    largest = float(data.agg(F.sqrt(F.max(square))).head()[0] or 0.0)
+    steps = F.ceil(F.log2(F.sqrt(square) / F.lit(largest or 1.0)) * BANDS_AN_OCTAVE)
+    band = F.least(F.greatest(F.coalesce(-steps, F.lit(BANDS - 1)), F.lit(0)), F.lit(BANDS - 1)).cast("int")
+    held_by = {r["band"]: r["count"] for r in data.groupBy(band.alias("band")).count().collect()}  # at most BANDS rows
+    shares = [-(-held_by.get(b, 0) // block_rows) for b in range(BANDS)]
+    blocks = max(1, sum(shares))
+    first = F.get(F.array(*(F.lit(sum(shares[:b])) for b in range(BANDS))), band)
+    share = F.get(F.array(*(F.lit(max(1, n)) for n in shares)), band)
+    own = data.select(F.size("v").alias("dims"), (first + F.pmod(F.xxhash64("vec_id", "v"), share)).cast("int").alias("block"), F.lit(0).alias("side"), "vec_id", "v")
     sent = asked.select(F.size("v").alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), "vec_id", "v")
     met = own.union(sent).repartition(4 * blocks, "dims", "block").sortWithinPartitions("dims", "block", "side")
 
@@ -165,7 +173,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int
                 if not ids:
                     continue  # no vectors of this length here
                 if index is None:
-                    index = Block(np.concatenate(ids), np.concatenate(held), norm, k)
+                    x = np.concatenate(held)
+                    index = Block(np.concatenate(ids), x, float(np.sqrt((x**2).sum(axis=1).max())), k)
                 for own_id, q in zip(vec[a:b].tolist(), matrix(batch, a, b), strict=True):
                     tag = hash(q.tobytes()) & 0x7FFFFFFF
                     out += [(own_id, tag, v, s) for v, s in index.nearest(own_id, q)]

@@ -72,3 +72,21 @@ def test_candidates_are_those_in_enough_windows(size):
             if found.sum() >= need:
                 break
         assert block.candidates(q).tolist() == np.flatnonzero(found).tolist()
+
+
+def test_recall_beside_long_vectors(spark):
+    """Norms that differ much, and one vector that is far longer than all others."""
+    rnd = np.random.default_rng(11)
+    unit = rnd.standard_normal((2000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    one = np.ones((2000, 1))
+    one[3] = 10.0
+    for scale in (one, np.exp(rnd.standard_normal((2000, 1)))):
+        rows = [(i, v.tolist()) for i, v in enumerate(unit * scale)]
+        asked = rows[::25]
+        df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], SCHEMA)
+        got = {}
+        for r in search(df, df.where("vec_id % 25 = 0"), 20).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        want = nearest(rows, asked, 20)
+        assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.95 * 20 * len(want)
