@@ -2,7 +2,8 @@
 
 A document may belong to several sources. All documents with the same
 membership form a pattern; only patterns and their total sizes come to the
-driver, at most ``MAX_PATTERNS`` of them. There, tokens flow from patterns to
+driver, one row each. Tables of up to ``MAX_BROADCAST`` patterns are broadcast,
+larger ones are joined as Spark chooses. On the driver, tokens flow from patterns to
 the quotas of their sources. A pattern offers its size once for each repetition
 and every further repetition costs more (convex costs), so no document is
 repeated while fresh ones can still serve the quota. Costs sit on the arcs that
@@ -21,6 +22,7 @@ from __future__ import annotations
 import json
 import sys
 from collections import defaultdict, deque
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import cloudpickle
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from postloom.llm.store import stored
 
-MAX_PATTERNS = 100_000
+MAX_BROADCAST = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 _LEAST = -(1 << 63)
 
@@ -101,6 +103,11 @@ def route(supply: dict[tuple[str, ...], int], quota: dict[str, int], passes: int
     return flow
 
 
+def _small(patterns: int) -> Callable[[DataFrame], DataFrame]:
+    """Hints a broadcast of a table with a row per pattern, if there are few enough."""
+    return F.broadcast if patterns <= MAX_BROADCAST else lambda df: df
+
+
 @dataclass
 class Mix:
     """What the driver decided; ``cuts`` has one row per pattern."""
@@ -138,9 +145,8 @@ def plan_mix(rows: DataFrame, weights, ratio: float, passes: int = 2) -> Mix:
     sources share ``ratio`` times all words; none gets more than ``passes`` times its size.
     """
     spark = rows.sparkSession
-    found = rows.groupBy("_pattern").agg(F.sum("_size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    found = rows.groupBy("_pattern").agg(F.sum("_size").alias("size")).collect()
+    small = _small(len(found))
     keys = {tuple(json.loads(r["_pattern"])): r["_pattern"] for r in found}
     supply = {tuple(json.loads(r["_pattern"])): int(r["size"] or 0) for r in found}
     sizes: dict[str, int] = defaultdict(int)
@@ -154,17 +160,17 @@ def plan_mix(rows: DataFrame, weights, ratio: float, passes: int = 2) -> Mix:
         taken = sum(flows[pattern].values())
         whole = taken // size if size else 0
         plan.append((keys[pattern], whole, taken - whole * size))
-    cut = F.broadcast(spark.createDataFrame(plan, "_pattern string, _whole bigint, _left bigint"))  # at most MAX_PATTERNS rows
+    cut = small(spark.createDataFrame(plan, "_pattern string, _whole bigint, _left bigint"))  # one row per pattern
     open_ = rows.join(cut.where("_left > 0").drop("_whole"), "_pattern")
     first, second = F.shiftright("_h", 55), F.shiftright("_h", 47).bitwiseAND(F.lit(255))
     slim = open_.select("_pattern", "_left", "_size", "_id", "_h", first.alias("_r1"), second.alias("_r2"))
     one = _first_over(slim.groupBy("_pattern", "_left", "_r1").agg(F.sum("_size").alias("_sum")), ["_r1"], [])
-    held = slim.drop("_left").join(F.broadcast(one), ["_pattern", "_r1"])  # one row per pattern
+    held = slim.drop("_left").join(small(one), ["_pattern", "_r1"])  # one row per pattern
     two = _first_over(held.groupBy("_pattern", "_left", "_r1", "_r2").agg(F.sum("_size").alias("_sum")), ["_r2"], ["_r1"])
-    held = slim.drop("_left").join(F.broadcast(two), ["_pattern", "_r1", "_r2"])
+    held = slim.drop("_left").join(small(two), ["_pattern", "_r1", "_r2"])
     exact = held.groupBy("_pattern", "_left", "_h", "_id", "_size").agg(F.sum("_size").alias("_sum"), F.count("*").alias("_ties"))
     at = _first_over(exact, ["_h", "_id", "_size"], ["_ties"]).toDF("_pattern", "_part", "_cut_h", "_cut_id", "_cut_size", "_ties")
-    return Mix(cut.drop("_left").join(F.broadcast(at), "_pattern", "left"), dict(sizes), targets, flows, keys)
+    return Mix(cut.drop("_left").join(small(at), "_pattern", "left"), dict(sizes), targets, flows, keys)
 
 
 def take(rows: DataFrame, mix: Mix, whole_documents: bool = False) -> DataFrame:
@@ -180,7 +186,7 @@ def take(rows: DataFrame, mix: Mix, whole_documents: bool = False) -> DataFrame:
     if whole_documents:
         part = F.when(2 * F.col("_part") >= F.col("_ties") * F.col("_size"), F.col("_size")).otherwise(0)
     rest = F.when(F.col("_cut_h").isNull(), 0).when(here < cut, F.col("_size")).when(here == cut, part).otherwise(0)
-    return rows.join(F.broadcast(mix.cuts), "_pattern").withColumn("_taken", (F.col("_whole") * F.col("_size") + rest).cast("bigint"))
+    return rows.join(_small(len(mix.flows))(mix.cuts), "_pattern").withColumn("_taken", (F.col("_whole") * F.col("_size") + rest).cast("bigint"))
 
 
 def cycle_weights(sources: list[str], weights: tuple[float, ...] = (5, 2, 1)) -> dict[str, float]:
@@ -210,7 +216,7 @@ def mix_sources(docs: DataFrame, members: Column, ratio: float = 1.5, passes: in
     found = docs.sparkSession.createDataFrame(shares, "_pattern string, _from double, _to double, credit string")
     found = found.groupBy("_pattern").agg(F.collect_list(F.struct("_from", "_to", "credit")).alias("_shares"))
     draw = F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    taken = take(rows, mix).join(F.broadcast(found), "_pattern", "left").withColumn("_draw", draw)
+    taken = take(rows, mix).join(_small(len(mix.flows))(found), "_pattern", "left").withColumn("_draw", draw)
     credit = F.element_at(F.filter("_shares", lambda x: (x["_from"] <= F.col("_draw")) & (F.col("_draw") < x["_to"] + 1e-12)), 1)["credit"]
     return taken.select("doc_id", "members", "size", F.col("_taken").alias("taken"), F.when(F.col("_taken") > 0, credit).alias("credit"))
 
@@ -224,7 +230,7 @@ def mix_by_source(docs: DataFrame, ratio: float = 1.5, passes: int = 2, seed: in
     sources = docs.sparkSession.createDataFrame(known, "_pattern string, source_size bigint, target double")
     return (
         take(rows, mix)
-        .join(F.broadcast(sources), "_pattern")  # one row per source, at most MAX_PATTERNS
+        .join(_small(len(mix.flows))(sources), "_pattern")  # one row per source
         .select("doc_id", "size", "source_size", "target", F.col("_taken").alias("taken"))
     )
 

@@ -100,3 +100,13 @@ def test_overlapping_sources_and_rows(spark):
     times = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     # Whole documents: only those at a cut may differ from the exact mix.
     assert sum(abs(times.get(d, 0) - x) > 1e-9 for d, x in want.items() if d not in (5, 7, 8)) <= 6
+
+
+def test_more_sources_than_are_broadcast(spark):
+    """One document each of 100,500 sources, and a source of two."""
+    df = spark.range(100_500).selectExpr("id as doc_id", "repeat('w ', int(id % 5) + 1) as text", "if(id = 7, 'source3', concat('source', id)) as source")
+    got = {r.doc_id: r for r in mix_by_source(df).collect()}
+    assert len(got) == 100_500 and got[3].source_size == got[7].source_size == 4 + 3
+    assert all(0 <= r.taken <= 2 * r.size for r in got.values()) and all(r.source_size == r.size for i, r in got.items() if i not in (3, 7))
+    assert all(abs(r.taken - r.target) <= 0.5 for i, r in got.items() if i not in (3, 7))
+    assert got[3].taken + got[7].taken == int(got[3].target + 0.5)
