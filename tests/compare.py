@@ -70,6 +70,7 @@ def compare(spark, con, sf_dir: str, name: str, fn, sql: str) -> str:
 
 _SAME = {
     ("string", "VARCHAR"), ("bigint", "BIGINT"), ("int", "INTEGER"), ("double", "DOUBLE"), ("bigint", "HUGEINT"),
+    ("date", "DATE"), ("array<double>", "DOUBLE[]"),
 }
 
 
