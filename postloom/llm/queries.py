@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from postloom.llm import sql
 from postloom.llm.collision_search import search
+from postloom.llm.cost_packing import pack_by_cost
+from postloom.llm.filter_audit import audit
+from postloom.llm.hard_negatives import labelled, mine
 from postloom.llm.licenses import scan_licenses
 from postloom.llm.mixing import mix_by_source
 from postloom.llm.near_dedup import near_duplicates
@@ -24,6 +27,7 @@ from postloom.llm.warc import archive_round_trip
 Query = Callable[[SparkSession, str], DataFrame]
 
 VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 _DAY0 = "2024-01-01"
 
 
@@ -112,11 +116,28 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding among all."""
+    rows = labelled(table(spark, sf_dir, "embeddings"))
+    return mine(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op12_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1,024 tokens and like costs."""
+    return pack_by_cost(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters on all documents in all orders."""
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_mixing, op3_warc, op4_packing, op5_near_dedup, op6_secrets, op7_line_quality, op8_toxicity, op9_collision_search, op10_licenses,
+        op11_hard_negatives, op12_cost_packing, op13_filter_audit,
     )
 }
 #: DuckDB counterparts of the queries that SQL can express on whole tables.
-SQL: dict[str, str] = {"op1_url_filters": sql.URL_FILTERS, "op3_warc": sql.WARC, "op5_near_dedup": sql.NEAR_DEDUP, "op7_line_quality": sql.LINE_QUALITY}
+SQL: dict[str, str] = {"op1_url_filters": sql.URL_FILTERS, "op3_warc": sql.WARC, "op5_near_dedup": sql.NEAR_DEDUP, "op7_line_quality": sql.LINE_QUALITY, "op11_hard_negatives": sql.HARD_NEGATIVES, "op13_filter_audit": sql.FILTER_AUDIT}

@@ -69,16 +69,13 @@ grams AS (SELECT rid, i, ws[i : i + 2] AS g FROM (SELECT rid, ws, unnest(generat
 again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM grams) WHERE c > 1),
 covered AS (SELECT rid, count(DISTINCT i + j) AS n FROM again, (SELECT unnest([0, 1, 2]) AS j) GROUP BY rid),
 texts AS (SELECT DISTINCT host, text, ls FROM w),
-pieces AS (SELECT host, text, unnest(ls) AS x, generate_subscripts(ls, 1) AS pos FROM texts),
+pieces AS (SELECT host, text, unnest(ls) AS x FROM texts),
 lines AS (
-  SELECT host, text, pos, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words,
-    CAST('0x' || substr(md5(trim(regexp_replace(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')), 1, 15) AS BIGINT) AS line
+  SELECT host, text, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words,
+    array_to_string(regexp_extract_all(translate(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '123456789', '000000000'), '[^\x20\x09-\x0D]+'), ' ') AS line
   FROM pieces),
-lowest AS (SELECT host, text, min(line) AS low, min(line) FILTER (line > m) AS next FROM (SELECT *, min(line) OVER (PARTITION BY host, text) AS m FROM lines) GROUP BY host, text),
-others AS (SELECT l.host, l.text, l.pos, l.words, l.line, CASE WHEN l.line = o.low THEN coalesce(o.next, l.line) ELSE o.low END AS other FROM lines l JOIN lowest o USING (host, text)),
-hosts AS (SELECT host, count(DISTINCT text) AS docs FROM lines GROUP BY host),
-common AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT other) AS held FROM others GROUP BY host, line) JOIN hosts USING (host) WHERE held > 20 AND held > 0.01 * docs),
-removed AS (SELECT host, text, sum(words) AS n FROM others JOIN common USING (host, line) GROUP BY host, text),
+common AS (SELECT host, line FROM lines GROUP BY host, line HAVING count(DISTINCT text) > 20),
+removed AS (SELECT host, text, sum(words) AS n FROM lines JOIN common USING (host, line) GROUP BY host, text),
 counted AS (
   SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(w.text, '[#*$%&|<>]')) AS n_symbols,
     len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(r.n, 0) AS removed_words
@@ -88,3 +85,53 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(removed_words AS BIGINT) AS removed_words, base_failed, NOT base_failed AND n_words - removed_words >= 0.3 * n_words AS kept
 FROM judged
 """
+
+HARD_NEGATIVES = r"""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same) WHERE n <= 5),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+FILTER_AUDIT = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS lowest FROM t),
+f AS (
+  SELECT rid, doc_id, part, unnest(['A', 'B', 'C', 'D', 'E']) AS filter,
+    unnest([len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws), 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text),
+      regexp_matches(text, '[#$%&*|]'), coalesce(lowest < doc_id, false)]) AS fails
+  FROM w),
+fails AS (SELECT rid, filter FROM f WHERE fails),
+orders AS (
+  SELECT '' AS o UNION ALL
+  SELECT o || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)),
+steps AS (SELECT o AS filter_order, CAST(i AS INTEGER) AS step, substr(o, i, 1) AS filter FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS i) WHERE length(o) = 5),
+known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+docs AS (
+  SELECT t.rid, t.part, coalesce(k.good, 0) AS good, coalesce(k.toxic, 0) AS toxic, coalesce(string_agg(x.filter, '' ORDER BY x.filter), '') AS failed
+  FROM t LEFT JOIN known k ON k.doc_id = t.doc_id LEFT JOIN fails x ON x.rid = t.rid GROUP BY ALL),
+kinds AS (SELECT part, failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM docs GROUP BY part, failed),
+played AS (
+  SELECT k.*, s.*, contains(failed, s.filter) AS hit,
+    len(list_filter([1, 2, 3, 4, 5], lambda i: i < s.step AND contains(failed, substr(s.filter_order, i, 1)))) > 0 AS gone
+  FROM kinds k, steps s),
+summed AS (
+  SELECT part, filter_order, step, filter,
+    sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND hit THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone AND hit THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed = filter THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT gone AND hit THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND hit THEN toxic ELSE 0 END) AS toxic_lost
+  FROM played GROUP BY part, filter_order, step, filter)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM summed
+"""
