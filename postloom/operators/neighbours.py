@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from ..session import settle
 
 LEAF_ROWS = 8_192
-MAX_LEAVES = 4_096
 SAMPLE_CELLS = 8_000_000
 _STEP = 128
 
@@ -162,15 +161,15 @@ def _fold_copies(points: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _plan(reps: DataFrame, leaf_rows: int, max_leaves: int) -> Leaves:
-    """Cut space by a sample of the representatives, bounded in size."""
+def _plan(reps: DataFrame, leaf_rows: int) -> Leaves:
+    """Cut space by a sample of the representatives, of at most SAMPLE_CELLS numbers or 16 rows a leaf."""
     first = reps.select(F.size("v")).head()
     width = first[0] if first else 1
     n = reps.count()
-    wanted = max(1, min(max_leaves, math.ceil(n / leaf_rows)))
+    wanted = max(1, math.ceil(n / leaf_rows))
     if wanted == 1:
         return cut_space(np.zeros((0, width)), 1)
-    take = min(n, 256 * wanted, SAMPLE_CELLS // width)
+    take = min(n, 256 * wanted, max(16 * wanted, SAMPLE_CELLS // width))
     share = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(take / n * (1 << 20)) + 1
     sample = _matrix(reps.where(share).select("v").toPandas()["v"])
     return cut_space(sample, wanted)
@@ -259,16 +258,16 @@ def _nearest(query: np.ndarray, reach: np.ndarray, v: np.ndarray, ids: list, k:
     return out
 
 
-def knn_graph(points: DataFrame, k: int = 15, leaf_rows: int = LEAF_ROWS, max_leaves: int = MAX_LEAVES) -> DataFrame:
-    """(id, rank, neighbour, distance): the exact ``k`` nearest others.
+def nearest_lists(points: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> tuple[DataFrame, DataFrame, Leaves]:
+    """((rep, p), (rep, ids, v, leaf), leaves): the ``k + 1`` entries (distance, neighbour) nearest to every distinct vector.
 
-    ``points`` has (id, v). Equal distances are ordered by id. The in-leaf
-    answer bounds the distance of the k-th neighbour; that bound decides which
-    other leaves have to be asked.
+    ``points`` has (id, v). A vector finds itself and its copies first. The
+    in-leaf answer bounds the distance of the k-th neighbour; that bound decides
+    which other leaves have to be asked.
     """
     id_type = points.schema["id"].dataType.simpleString()
     reps = _fold_copies(points.select("id", F.col("v").cast("array<double>").alias("v")), k)
-    t = _plan(reps, leaf_rows, max_leaves)
+    t = _plan(reps, leaf_rows)
     located = _locate(reps, t)
     lists = f"rep {id_type}, leaf int, v array<double>, r double, found array<{id_type}>, gaps array<double>"
 
@@ -303,7 +302,16 @@ def knn_graph(points: DataFrame, k: int = 15, leaf_rows: int = LEAF_ROWS, max_le
     best = answers.select("rep", pairs.alias("p")).groupBy("rep").agg(
         F.slice(F.sort_array(F.flatten(F.collect_list("p"))), 1, k + 1).alias("p")
     )
-    members = _members(points, reps)
+    return best, located, t
+
+
+def knn_graph(points: DataFrame, k: int = 15, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """(id, rank, neighbour, distance): the exact ``k`` nearest others.
+
+    ``points`` has (id, v). Equal distances are ordered by id.
+    """
+    best, located, _ = nearest_lists(points, k, leaf_rows)
+    members = _members(points, located)
     others = F.slice(F.filter("p", lambda e: e["neighbour"] != F.col("id")), 1, k)
     return members.join(best, "rep").select("id", F.posexplode(others).alias("rank", "e")).select(
         "id", (F.col("rank") + 1).alias("rank"), "e.neighbour", "e.distance"
@@ -352,7 +360,6 @@ def density_cluster(
     min_samples: int = 15,
     epsilon: float = 0.1,
     leaf_rows: int = LEAF_ROWS,
-    max_leaves: int = MAX_LEAVES,
 ) -> DataFrame:
     """(id, component): smallest member id of the cluster, null for outliers.
 
@@ -363,7 +370,7 @@ def density_cluster(
     points = points.select("id", F.col("v").cast("array<double>").alias("v"))
     id_type = points.schema["id"].dataType.simpleString()
     reps = points.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "v")
-    t = _plan(reps, leaf_rows, max_leaves)
+    t = _plan(reps, leaf_rows)
     located = _locate(reps, t)
     cores = settle(_core_points(located, t, id_type, min_samples, epsilon, leaf_rows))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -192,6 +193,50 @@ def _extract_links(spark, d):
     return html.extract_links(views.spread(views.table(spark, d, "pages")), SITE)
 
 
+def _nested_pages(spark, d):
+    """Every document as a page of elements inside elements, with attributes in all spellings and references."""
+    coded = lambda c: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&#62;"), ("é", "&eacute;"), ("ü", "&#xFC;")), c)
+    lines = F.split("text", "\n")
+    wrapped = lambda before, after, of: F.array_join(F.transform(lines, lambda x: F.concat(F.lit(before), coded(of(x)), F.lit(after))), "")
+    page = F.concat(
+        F.lit("<main><div data-testid=heading><h2>none</h2></div><div class='w'><div data-testid=\"heading&amp;title\"><div><b>"), coded(lines[0]),
+        F.lit("</b></div></div><section data-testid='body'><div><div data-x=\"a > b\">"), wrapped("<div><i>", "</i></div>", lambda x: x),
+        F.lit("</div><nav><div>hidden</div></nav></div></section></div><ul>"), wrapped("<li><p data-testid=item>", "", lambda x: F.element_at(F.split(x, " "), 1)),
+        F.lit("</ul><div id='job-list'><div><p data-testid=card><a class=x data-mdref=\"/job/"), F.col("doc_id"), F.lit("?a=1&amp;b=2\">one</a><div data-testid='card'><a href='/job/"), F.col("doc_id") + 1,
+        F.lit("'>two</a><a href=/other>three</a></div></div><a href='/job/free'>four</a></div><div data-testid=card><a href='/job/out'>five</a></div></main>"),
+    )
+    return views.documents(spark, d).select(F.col("doc_id").alias("page_id"), page.alias("html"), F.lit("").alias("url"))
+
+
+def _sql_tidy(x: str) -> str:
+    x = f"replace({x}, chr(160), ' ')"
+    return sql.strip(f"regexp_replace(regexp_replace(regexp_replace({x}, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{2,}}', chr(10), 'g')")
+
+
+@query(
+    "extract_nested",
+    f"""WITH items AS (SELECT doc_id, i, {sql.qualification(_sql_tidy('x'))} AS q FROM (
+          SELECT doc_id, split_part(unnest(string_split(text, chr(10))), ' ', 1) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+        firsts AS (SELECT doc_id, min(i) AS i, arg_min(q, i) AS q FROM items WHERE q <> '' GROUP BY doc_id, lower(replace(q, 'ß', 'ss')))
+        SELECT doc_id AS page_id, {_sql_tidy('string_split(text, chr(10))[1]')} AS Title, {_sql_tidy('text')} AS Description,
+          coalesce((SELECT string_agg(q, ' | ' ORDER BY i) FROM firsts f WHERE f.doc_id = d.doc_id), '') AS Qualifications FROM documents d""",
+)
+def _extract_nested(spark, d):
+    chosen = {"title": ("*", "data-testid", "heading&title"), "body": ("section", "data-testid", "body"), "items": ["ul", ("*", "data-testid", "item")]}
+    rows = html.extract_pages(_nested_pages(spark, d), **chosen)
+    return rows.select("page_id", "Title", "Description", F.array_join("Qualifications", " | ").alias("Qualifications"))
+
+
+@query(
+    "extract_nested_links",
+    """SELECT doc_id AS page_id, CAST(pos AS INT) AS pos, 'https://jobs.example.org/job/' || CASE pos WHEN 0 THEN doc_id || '?a=1&b=2' ELSE CAST(doc_id + 1 AS VARCHAR) END AS link
+       FROM documents, (SELECT unnest([0, 1]) AS pos)""",
+)
+def _extract_nested_links(spark, d):
+    cards = [("*", "id", "job-list"), ("*", "data-testid", "card")]
+    return html.extract_links(_nested_pages(spark, d), SITE, within=cards, only="/job/", attributes=("href", "data-mdref"))
+
+
 # --- scalar functions ----------------------------------------------------------------
 
 

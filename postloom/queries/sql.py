@@ -8,9 +8,18 @@ from __future__ import annotations
 
 from ..functions.text import BULLETS, DASHES, DROPPED, ITEM_PREFIX, ITEM_SUFFIX, ODD_SPACES, SPACE, TOKEN, TOKEN_AND_BLANK
 from ..operators.entities import TECH_WHITELIST
-from ..sources.html import ANY_TAG, BOILERPLATE, ENTITIES, LINE_TAGS, UNSEEN
 from .views import STOP_WORDS
 
+# How the given pages are written: what the page reader must find is stated on its own here.
+UNSEEN = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
+BOILERPLATE = r'(?is)<nav[^>]*>.*?</nav>|<div class="ad">.*?</div>|<footer[^>]*>.*?</footer>'
+LINE_TAGS = r"(?i)</?(p|br|h[1-6]|li|ul|ol|div|tr)(\s[^>]*)?/?>"
+ANY_TAG = r"<[^>]*>"
+ENTITIES = (
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"),
+    ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"),
+)
+
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"

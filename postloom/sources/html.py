@@ -1,112 +1,115 @@
-"""Fields and links out of stored pages, by expressions that tolerate unclosed tags."""
+"""Fields and links out of stored pages that may nest, leave tags open or quote as they like."""
 
 from __future__ import annotations
 
-import re
+import sys
+from collections.abc import Sequence
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dedupe_links, dedupe_qualifications, explode_once
 from ..functions.text import resolve_link, strip
+from .markup import Step, elements, select, visible
 
-# Named character references and their characters; the ampersand is last.
-ENTITIES = (
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&mdash;", "—"),
-    ("&ndash;", "–"),
-    ("&hellip;", "…"),
-    ("&amp;", "&"),
-)
-UNSEEN = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
-BOILERPLATE = r'(?is)<nav[^>]*>.*?</nav>|<div class="ad">.*?</div>|<footer[^>]*>.*?</footer>'
-LINE_TAGS = r"(?i)</?(p|br|h[1-6]|li|ul|ol|div|tr)(\s[^>]*)?/?>"
-ANY_TAG = r"<[^>]*>"
-
-
-def decode_entities(c: Column) -> Column:
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
-
-
-def inner_text(html: Column) -> Column:
-    """Visible text: line tags break lines, other tags vanish."""
-    c = F.regexp_replace(html, LINE_TAGS, "\n")
-    c = decode_entities(F.regexp_replace(c, ANY_TAG, ""))
-    c = F.regexp_replace(c, "[ \\t]+", " ")
-    c = F.regexp_replace(c, " ?\\n ?", "\n")
-    return strip(F.regexp_replace(c, "\\n{2,}", "\n"))
-
-
-def element(html: Column, tag: str) -> Column:
-    """Content of the first ``tag``; to the end of the page if unclosed."""
-    return F.regexp_extract(html, f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)(?:</{tag}>|\\z)", 1)
-
+#: Parts of a page that are no text of its body.
+BOILERPLATE: tuple[Step, ...] = ("nav", "footer", ("div", "class", "ad"))
+# A step, or steps from the outside in: an element that fits the last one inside ones that fit those before.
+Selector = Step | list[Step]
 
-def selected(html: Column, tag: str, attribute: str, value: str) -> Column:
-    """Content of the first ``tag`` whose ``attribute`` is ``value``, in any quotes; to its first closing tag, or the end."""
-    mark = f"""{re.escape(attribute)}\\s*=\\s*(?:"{re.escape(value)}"|'{re.escape(value)}'|{re.escape(value)}(?=[\\s>]))"""
-    return F.regexp_extract(html, f"(?is)<{tag}\\s(?:[^>]*?\\s)?{mark}[^>]*>(.*?)(?:</{tag}>|\\z)", 1)
 
+def _path(selector: Selector) -> list[Step]:
+    return selector if isinstance(selector, list) else [selector]
 
-def elements(html: Column, tag: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
-
-
-# A tag name, or a tag with an attribute and its value.
-Selector = str | tuple[str, str, str]
 
+def tidy(c: Column) -> Column:
+    """Runs of blanks to one, runs of line breaks to one."""
+    c = F.regexp_replace(c, "[ \\t]+", " ")
+    c = F.regexp_replace(c, " ?\\n ?", "\n")
+    return strip(F.regexp_replace(c, "\\n{2,}", "\n"))
 
-def _content(html: Column, selector: Selector) -> Column:
-    return element(html, selector) if isinstance(selector, str) else selected(html, *selector)
 
+def page_fields(html: Column, title: Selector, body: Selector, items: Selector, hidden: Sequence[Step] = BOILERPLATE) -> Column:
+    """struct(title, body, items): visible texts of the first title and body, and of all items; null without a page.
 
-def extract_pages(
-    pages: DataFrame, title: Selector = "h1", body: Selector = "article", items: Selector | None = None, item_tag: str = "li"
-) -> DataFrame:
+    ``hidden`` elements are left out of the body. Elements that nothing closes end
+    with what surrounds them.
+    """
+    paths = [_path(s) for s in (title, body, items)]
+    unseen = [_path(s) for s in hidden]
+
+    def read(pages: pd.Series) -> pd.DataFrame:
+        rows = []
+        for page in pages:
+            if page is None:
+                rows.append((None, None, None))
+                continue
+            found = elements(page)
+            heads, bodies, listed = (select(found, p) for p in paths)
+            cut = [e for p in unseen for e in select(found, p)] if bodies else []
+            rows.append((
+                visible(page, heads[0], found) if heads else "",
+                visible(page, bodies[0], found, cut) if bodies else "",
+                [visible(page, e, found) for e in listed],
+            ))
+        return pd.DataFrame(rows, columns=["title", "body", "items"])
+
+    return F.pandas_udf(read, "title string, body string, items array<string>")(html)
+
+
+def extract_pages(pages: DataFrame, title: Selector = "h1", body: Selector = "article", items: Selector = "li") -> DataFrame:
     """(page_id, Title, Description, Qualifications, Link) per stored page.
 
-    title, body and items (the element around the list items, the page by
-    default) are tag names or (tag, attribute, value).
+    title, body and items are names of elements, (name, attribute, value) with * for
+    any name, or lists of these from the outside in. Of titles and bodies the first counts,
+    of items each, also inside another. A page without one has an empty
+    field; a null page has null texts and no items.
     """
-    seen = F.regexp_replace("html", UNSEEN, "")
-    text = _content(F.regexp_replace(seen, BOILERPLATE, ""), body)
-    listed = seen if items is None else _content(seen, items)
-    return pages.select(
+    read = pages.select("page_id", "url", page_fields(F.col("html"), title, body, items).alias("_f"))
+    return read.select(
         "page_id",
-        inner_text(_content(seen, title)).alias("Title"),
-        inner_text(text).alias("Description"),
-        dedupe_qualifications(F.transform(elements(listed, item_tag), inner_text)).alias("Qualifications"),
+        tidy(F.col("_f.title")).alias("Title"),
+        tidy(F.col("_f.body")).alias("Description"),
+        dedupe_qualifications(F.transform(F.coalesce("_f.items", F.array().cast("array<string>")), tidy)).alias("Qualifications"),
         F.col("url").alias("Link"),
     )
 
 
-# The start of a link element and its address in either quotes or none.
-HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 #: Schemes that lead to no page.
 NO_PAGE = r"(?i)^(?:mailto|javascript|tel|data):"
 
 
-def extract_links(pages: DataFrame, base: str, within: tuple[str, str, str] | None = None, only: str | None = None) -> DataFrame:
+def link_addresses(html: Column, within: Selector | None = None, attributes: Sequence[str] = ("href",)) -> Column:
+    """array<string>: the first of ``attributes`` that each link element has, inside all elements that fit ``within``."""
+    path = [*(_path(within) if within is not None else []), "a"]
+
+    def read(pages: pd.Series) -> pd.Series:
+        def one(page: str) -> list[str]:
+            links = select(elements(page), path)
+            values = (next((v for a in attributes if (v := e.value(a))), None) for e in links)
+            return [v for v in values if v is not None]
+
+        return pages.map(one, na_action="ignore")
+
+    return F.pandas_udf(read, "array<string>")(html)
+
+
+def extract_links(
+    pages: DataFrame, base: str, within: Selector | None = None, only: str | None = None, attributes: Sequence[str] = ("href",)
+) -> DataFrame:
     """(page_id, pos, link): absolute links of a page, each once, in order.
 
-    ``within`` (tag, attribute, value) looks only inside the first such element;
-    ``only`` is a pattern that an address must match, e.g. ``/job/``. References
-    in addresses are decoded, empty addresses and those that lead to no page dropped.
+    ``within`` looks only inside elements that fit it; ``only`` is a pattern that an
+    address must match, e.g. ``/job/``; ``attributes`` hold the address, the first that
+    is there counts. References in addresses are decoded, empty addresses and
+    those that lead to no page dropped.
     """
-    html = F.col("html") if within is None else selected(F.col("html"), *within)
-    quoted = [F.regexp_extract_all(html, F.lit(HREF), F.lit(i)) for i in (1, 2, 3)]
-    both = lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y))
-    hrefs = both(both(quoted[0], quoted[1]), quoted[2])
-    hrefs = F.transform(hrefs, lambda h: strip(decode_entities(h)))
+    hrefs = F.transform(link_addresses(F.col("html"), within, attributes), strip)
     hrefs = F.filter(hrefs, lambda h: (h != "") & ~h.rlike(NO_PAGE) & (h.rlike(only) if only else F.lit(True)))
     links = dedupe_links(F.transform(hrefs, lambda h: resolve_link(h, base)))
     return explode_once(pages, ["page_id"], links, "link", "pos")
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
