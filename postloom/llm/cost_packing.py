@@ -96,17 +96,18 @@ def _table(steps: list[Step]) -> tuple[np.ndarray, ...]:
 
 
 def _parts(docs: DataFrame, vocab: str, capacity: int) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, block, within, ids): within counts a task's parts of a length."""
+    """(doc_id, start, length, doc_tokens, block, within, ids): within counts a task's parts of a length; ids take two bytes each where the vocabulary allows it."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, block = worker_tokenizer(vocab), TaskContext.get().partitionId()
+        width = "<u2" if tokens.library.get_vocab_size() <= 1 << 16 else "<u4"
         seen: Counter = Counter()
         names = ["doc_id", "start", "length", "doc_tokens", "block", "within", "ids"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             out, held = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(tokens.encode(text.as_py() or ""), np.uint32(0)).astype("<u4")
+                ids = np.append(tokens.encode(text.as_py() or ""), np.uint32(0)).astype(width)
                 for start in range(0, len(ids), capacity):
                     part = ids[start : start + capacity]
                     out.append((doc, start, len(part), len(ids), block, seen[len(part)], part.tobytes()))
@@ -144,8 +145,9 @@ def pack_by_cost(docs: DataFrame, vocab: str, capacity: int = CAPACITY, linear:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.num_rows
-            row, start, ids = np.arange(size), np.zeros(size, dtype=np.int64), batch.column(5).to_pylist()
+            row, start = np.arange(size), np.zeros(size, dtype=np.int64)
             length, rank = batch.column(2).to_numpy().astype(np.int64), batch.column(4).to_numpy()
+            ids = [np.frombuffer(x, f"<u{len(x) // n}").astype("<u4").tobytes() for x, n in zip(batch.column(5).to_pylist(), length.tolist(), strict=True)]
             while len(row):  # a round for each rest
                 key = (length << 40) + rank
                 at = np.searchsorted(keys, key, side="right") - 1
