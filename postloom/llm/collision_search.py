@@ -5,7 +5,7 @@ centred on its own projection in every array; a vector collides once for each
 window that holds it. Virtual rehashing widens all windows by one factor until
 enough vectors of the block collide in a threshold share of the arrays; these are verified
 with exact inner products. A window is a range of places in the sorted array, and a
-collision is a place inside it.
+collision is a place inside it; the windows of many queries are counted together.
 
 Inner products become distances by one more component, sqrt(M^2 - |x|^2) with M
 the largest norm of the block. Vectors of like norms are dealt into blocks by hash,
@@ -32,83 +32,102 @@ THRESHOLD = 0.7
 SHARE = 0.3
 #: Factor of virtual rehashing.
 WIDEN = 1.12
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 4096
 SEED = 7
+#: Own points of a block that tell how wide windows begin.
+SAMPLE = 8
+#: Queries whose windows are counted together.
+STEP = 64
 #: Norms within a factor of 2 ** (1 / 4) share blocks; those below 2 ** -16 of the largest share the last band.
 BANDS_AN_OCTAVE, BANDS = 4, 65
 
 
+def _unit(x: np.ndarray) -> float:
+    """A power of two that brings the largest component of ``x`` near 1."""
+    largest = float(np.abs(x).max(initial=0.0))
+    return 2.0 ** -float(np.clip(np.frexp(largest)[1], -1000, 1000)) if largest else 1.0
+
+
 class Block:
     """Sorted projections of one block's distinct vectors."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, norm: float, k: int) -> None:
-        order = np.lexsort((ids, *x.T[::-1]))
-        ids, x = ids[order], x[order]
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int) -> None:
+        by = np.lexsort((ids, *x.T[::-1]))
+        ids, x = ids[by], x[by]
         new = np.r_[True, (x[1:] != x[:-1]).any(axis=1)]
         self.x, self.k = x[new], k
         starts = np.flatnonzero(new)
         self.ids = [ids[a : min(b, a + k + 1)] for a, b in zip(starts, np.r_[starts[1:], len(ids)], strict=True)]
-        extra = np.sqrt(np.maximum(norm**2 - (self.x**2).sum(axis=1), 0.0))
+        near_one = self.x * _unit(self.x)
+        squares = (near_one**2).sum(axis=1)
+        self.norm = float(np.sqrt(squares.max()))
+        extra = np.sqrt(np.maximum(self.norm**2 - squares, 0.0))
         self.axes = np.random.default_rng(SEED).standard_normal((x.shape[1] + 1, PROJECTIONS))
-        values = self.x @ self.axes[:-1] + extra[:, None] * self.axes[-1]
-        order = np.argsort(values, axis=0, kind="stable").T
-        self.sorted = np.take_along_axis(values.T, order, axis=1)
-        # Place of every point in every array: a point collides where its place lies in the window.
-        self.place = np.empty((PROJECTIONS, len(self.x)), dtype=np.min_scalar_type(len(self.x)))
-        np.put_along_axis(self.place, order, np.arange(len(self.x), dtype=self.place.dtype)[None, :], axis=1)
-        self.beyond, self.inside = np.empty_like(self.place), np.empty(self.place.shape, dtype=bool)
+        values = near_one @ self.axes[:-1] + extra[:, None] * self.axes[-1]
+        self.order = np.argsort(values, axis=0, kind="stable").T
+        self.sorted = np.take_along_axis(values.T, self.order, axis=1)
+        # Place of every point in every array.
+        self.place = np.empty(self.order.shape, dtype=np.min_scalar_type(len(self.x)))
+        np.put_along_axis(self.place, self.order, np.arange(len(self.x), dtype=self.place.dtype)[None, :], axis=1)
         self.base = np.arange(PROJECTIONS) * len(self.x)
-        self.widened = 0
         # All arrays in one, each shifted beyond the one before: one search serves all windows.
         low, high = self.sorted[:, 0].min(), self.sorted[:, -1].max()
         self.shift = np.arange(PROJECTIONS) * (2.0 * (high - low) + 1.0)
         self.line = (self.sorted + self.shift[:, None]).ravel()
         self.low, self.high = low - 0.25 * (high - low) - 0.1, high + 0.25 * (high - low) + 0.1
         self.first = 0.55 * float(np.median(self.sorted[:, (3 * len(self.x)) // 4] - self.sorted[:, len(self.x) // 4])) or 1e-9
-        self.norm = norm
-
-    def _window(self, centre: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
-        low = self.line.searchsorted(np.clip(centre - half, self.low, self.high) + self.shift, "left")
-        high = self.line.searchsorted(np.clip(centre + half, self.low, self.high) + self.shift, "right")
-        return low - self.base, high - self.base
-
-    def _colliding(self, centre: np.ndarray, times: int) -> np.ndarray:
-        """Points in enough of the windows after so many widenings."""
-        low, high = self._window(centre, self.first * WIDEN**times)
+        # Windows of any query begin at the width that the first of some own points needs.
+        self.start = 0
+        self.start = int(self._enough(self.x[:: max(1, len(self.x) // SAMPLE)])[0].min())
+
+    def _collisions(self, centres: np.ndarray, times: int) -> np.ndarray:
+        """(queries, points): in how many windows each point lies after so many widenings."""
+        half = self.first * WIDEN**times
+        low, high = (self.line.searchsorted(np.clip(centres + side, self.low, self.high) + self.shift) - self.base for side in (-half, half))
         kind = self.place.dtype
-        # Places before a window wrap around to numbers beyond its width.
-        np.subtract(self.place, low.astype(kind)[:, None], out=self.beyond)
-        np.less(self.beyond, (high - low).astype(kind)[:, None], out=self.inside)
-        return self.inside.view(np.uint8).sum(axis=0, dtype=np.uint8) >= THRESHOLD * PROJECTIONS
-
-    def candidates(self, q: np.ndarray) -> np.ndarray:
-        """Points that collide with a query often enough, in the first windows that hold enough of them.
-
-        Wider windows hold whatever narrower ones do, so the search for those windows
-        may start from the ones that served the query before: the result is the same.
-        """
-        size = len(self.x)
-        centre = (q * (self.norm / np.sqrt((q**2).sum()))) @ self.axes[:-1]
-        need = min(size, int(np.ceil(SHARE * size)) + self.k + 1)
-        times = self.widened
-        found = self._colliding(centre, times)
-        if np.count_nonzero(found) < need:
-            while np.count_nonzero(found) < need:
-                times += 1
-                found = self._colliding(centre, times)
-        else:
-            while times and np.count_nonzero(narrower := self._colliding(centre, times - 1)) >= need:
-                times, found = times - 1, narrower
-        self.widened = times
-        return np.flatnonzero(found)
-
-    def nearest(self, own: int, q: np.ndarray) -> list[tuple[int, float]]:
-        at = self.candidates(q)
-        score = self.x.take(at, axis=0) @ q
-        if len(at) > self.k:
-            # The last bits of a matrix product depend on its shape; those near the top are summed again one by one.
-            at = at[score >= np.partition(score, -self.k - 1)[-self.k - 1] - 1e-9 * self.norm * np.sqrt((q**2).sum())]
-        score = (self.x[at] * q).sum(axis=1)
+        low, width = low.astype(kind), (high - low).astype(kind)
+        shape = (len(centres), len(self.x))
+        beyond, inside, count = np.empty(shape, kind), np.empty(shape, bool), np.zeros(shape, np.uint8)
+        for p in range(PROJECTIONS):
+            # Places before a window wrap around to numbers beyond its width.
+            np.subtract(self.place[p], low[:, p, None], out=beyond)
+            np.less(beyond, width[:, p, None], out=inside)
+            np.add(count, inside.view(np.uint8), out=count)
+        return count
+
+    def _enough(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often the windows of each query have to widen, and the points that then collide often enough."""
+        near_one = queries * np.array([_unit(q) for q in queries])[:, None]
+        centres = (near_one * (self.norm / np.sqrt((near_one**2).sum(axis=1)))[:, None]) @ self.axes[:-1]
+        need = min(len(self.x), int(np.ceil(SHARE * len(self.x))) + self.k + 1)
+        times, found = np.full(len(queries), self.start), np.zeros((len(queries), len(self.x)), dtype=bool)
+        short = np.arange(len(queries))
+        now = self.start
+        while len(short):
+            times[short] = now
+            found[short] = self._collisions(centres[short], now) >= THRESHOLD * PROJECTIONS
+            short = short[np.count_nonzero(found[short], axis=1) < need]
+            now += 1
+        return times, found
+
+    def candidates(self, queries: np.ndarray) -> list[np.ndarray]:
+        """For each query the points that collide with it often enough, in the first windows that hold enough of them."""
+        return [np.flatnonzero(f) for f in self._enough(queries)[1]]
+
+    def search(self, own: np.ndarray, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[tuple[int, float]]]]:
+        """(query's id, query, its nearest) for queries that are no points of their own."""
+        for at in range(0, len(queries), STEP):
+            part = queries[at : at + STEP]
+            for i, q, found in zip(own[at : at + STEP].tolist(), part, self.candidates(part), strict=True):
+                yield i, q, self._nearest(i, q, found)
+
+    def _nearest(self, own: int, q: np.ndarray, at: np.ndarray) -> list[tuple[int, float]]:
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = self.x.take(at, axis=0) @ q
+            if len(at) > self.k and np.isfinite(score).all():
+                # The last bits of a matrix product depend on its shape; those near the top are summed again one by one.
+                at = at[score >= np.partition(score, -self.k - 1)[-self.k - 1] - 1e-9 * np.sqrt((q**2).sum()) * self.norm / _unit(self.x)]
+            score = np.nan_to_num((self.x[at] * q).sum(axis=1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
         top = np.argsort(-score, kind="stable")
         out: list[tuple[int, float]] = []
         worst = None
@@ -136,11 +155,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int
     vectors that are null, zero or hold null or non-finite components take no
     part; vectors of another length than the query's are not its candidates. Rows
     alike in id and vector count once; different vectors under one id are all
-    candidates, and each is a query with ranks of its own.
+    candidates, and each is a query with ranks of its own. Products beyond the range of
+    doubles count as infinite, those without a value as the smallest. No rows give none.
     """
     clean = lambda df: df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v"))).distinct()
     data, asked = clean(vectors), clean(queries)
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    # In units of the largest component squares stay in range.
+    unit = float(data.agg(F.max(F.array_max(F.transform("v", F.abs)))).head()[0] or 1.0)
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.lit(unit)) * (x / F.lit(unit)))
     largest = float(data.agg(F.sqrt(F.max(square))).head()[0] or 0.0)
     steps = F.ceil(F.log2(F.sqrt(square) / F.lit(largest or 1.0)) * BANDS_AN_OCTAVE)
     band = F.least(F.greatest(F.coalesce(-steps, F.lit(BANDS - 1)), F.lit(0)), F.lit(BANDS - 1)).cast("int")
@@ -173,11 +195,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int
                 if not ids:
                     continue  # no vectors of this length here
                 if index is None:
-                    x = np.concatenate(held)
-                    index = Block(np.concatenate(ids), x, float(np.sqrt((x**2).sum(axis=1).max())), k)
-                for own_id, q in zip(vec[a:b].tolist(), matrix(batch, a, b), strict=True):
+                    index = Block(np.concatenate(ids), np.concatenate(held), k)
+                for own_id, q, near in index.search(vec[a:b], matrix(batch, a, b)):
                     tag = hash(q.tobytes()) & 0x7FFFFFFF
-                    out += [(own_id, tag, v, s) for v, s in index.nearest(own_id, q)]
+                    out += [(own_id, tag, v, s) for v, s in near]
             cols = list(zip(*out, strict=True)) if out else [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["query_id", "tag", "vec_id", "score"])

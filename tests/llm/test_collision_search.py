@@ -55,23 +55,26 @@ def test_ties_copies_and_unusable_rows(spark):
 
 @pytest.mark.parametrize("size", [1, 2, 255, 256, 700])
 def test_candidates_are_those_in_enough_windows(size):
-    """Places of any width; the windows that served the query before do not change the result."""
+    """Places of any width; queries that widen more or less than others beside them."""
     rng = np.random.default_rng(size)
     x = rng.standard_normal((size, 8))
-    block = Block(np.arange(size), x, float(np.sqrt((x**2).sum(axis=1)).max()), 5)
+    block = Block(np.arange(size), x, 5)
     values = np.empty((PROJECTIONS, size))
-    np.put_along_axis(values, block.place.argsort(axis=1), block.sorted, axis=1)
+    np.put_along_axis(values, block.order, block.sorted, axis=1)
     need = min(size, int(np.ceil(SHARE * size)) + 6)
-    for q in rng.standard_normal((20, 8)):
+    queries = rng.standard_normal((20, 8)) * np.exp(rng.standard_normal((20, 1)))
+    for q, got in zip(queries, block.candidates(queries), strict=True):
+        unit = 2.0 ** -np.frexp(np.abs(x).max())[1]
+        assert block.norm == pytest.approx(unit * np.sqrt((x**2).sum(axis=1).max()))
         centre = (q * (block.norm / np.sqrt((q**2).sum()))) @ block.axes[:-1]
         half, found = block.first, np.zeros(size, dtype=bool)
-        for times in range(200):
+        for times in range(block.start, 200):
             half = block.first * WIDEN**times
             low, high = np.clip(centre - half, block.low, block.high), np.clip(centre + half, block.low, block.high)
             found = ((values >= low[:, None]) & (values <= high[:, None])).sum(axis=0) >= THRESHOLD * PROJECTIONS
             if found.sum() >= need:
                 break
-        assert block.candidates(q).tolist() == np.flatnonzero(found).tolist()
+        assert got.tolist() == np.flatnonzero(found).tolist()
 
 
 def test_recall_beside_long_vectors(spark):
@@ -90,3 +93,15 @@ def test_recall_beside_long_vectors(spark):
             got.setdefault(r.query_id, set()).add(r.vec_id)
         want = nearest(rows, asked, 20)
         assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.95 * 20 * len(want)
+
+
+@pytest.mark.parametrize("scale", [1e-170, 1e-300, 1e160, 1e-20])
+def test_any_magnitude_ends(spark, scale):
+    rnd = np.random.default_rng(2)
+    rows = [(i, (v * scale).tolist()) for i, v in enumerate(rnd.standard_normal((60, 5)))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = search(df, df.where("vec_id % 20 = 0"), 7, block_rows=30).collect()
+    assert len(got) == 3 * 7 and {r.query_id for r in got} == {0, 20, 40}
+    if scale == 1e-20:
+        want = {q: sorted(((float((np.array(v) * np.array(rows[q][1])).sum()), -i) for i, v in rows if i != q), reverse=True)[:7] for q in (0, 20, 40)}
+        assert all({-i for _, i in want[q]} >= {r.vec_id for r in got if r.query_id == q and r["rank"] <= 3} for q in want)
