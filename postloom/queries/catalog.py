@@ -25,6 +25,7 @@ from ..operators import (
     stats,
     topics,
 )
+from ..operators import density_tree as density
 from ..plans import clean, discover
 from ..schema import POST_COLUMNS, STAT_COLUMNS
 from ..session import scratch_path, settle
@@ -1313,6 +1314,18 @@ def _density_cluster(spark, d):
     return neighbours.density_cluster(views.blobs(spark, d), leaf_rows=100)
 
 
+@query(
+    "density_tree",
+    with_views(
+        "SELECT id, CASE WHEN g IS NOT NULL THEN c END AS component, CASE WHEN g IS NOT NULL THEN round(s, 6) ELSE 0 END AS strength FROM labelled",
+        "blobs",
+        extra=sql.density_hierarchy("blobs", 20, 5, 0.1),
+    ),
+)
+def _density_tree(spark, d):
+    return density.density_tree(views.blobs(spark, d), 20, 5, 0.1).withColumn("strength", F.round("strength", 6))
+
+
 @query("discover_topics")
 def _discover_topics(spark, d):
     paras = views.paras(spark, d).withColumnRenamed("text", "Description")

@@ -207,7 +207,8 @@ FROM walk a JOIN numbered b ON b.k = a.k AND b.i = a.i + 1""",
 def with_views(body: str, *names: str, extra: dict[str, str] | None = None) -> str:
     """``WITH`` the named views (in order) and the extra ones, then ``body``."""
     ctes = [f"{n} AS ({VIEWS[n].strip()})" for n in names]
-    ctes += [f"{n} AS ({q.strip()})" for n, q in (extra or {}).items()]
+    # A view whose name ends in an underscore is computed once.
+    ctes += [f"{n} AS {'MATERIALIZED ' * n.endswith('_')}({q.strip()})" for n, q in (extra or {}).items()]
     return ("WITH RECURSIVE " + ",\n".join(ctes) + "\n" if ctes else "") + body.strip()
 
 
@@ -239,3 +240,76 @@ SELECT topic, n AS "count", concat(topic, '_', w4) AS name, words FROM
   (SELECT topic, string_agg(term, '_' ORDER BY r) FILTER (r <= 4) AS w4, string_agg(term, ',' ORDER BY r) AS words
    FROM ranked WHERE r <= 10 GROUP BY topic) USING (topic)""",
 }
+
+
+# --- clusters ---------------------------------------------------------------------
+
+
+def density_hierarchy(points: str, size: int, samples: int, epsilon: float) -> dict[str, str]:
+    """Views from ``points(id, v)`` to ``labelled(id, component, strength)``: clusters by excess of mass.
+
+    A tree grown point by point, its links merged one by one with the labels of all
+    points in a list, and clusters read off the labels at every distance.
+    """
+    far = "1e300::DOUBLE"
+    return {
+        "ids": f"SELECT id, v, row_number() OVER (ORDER BY id) AS i FROM {points}",
+        "gaps": "SELECT a.i AS a, b.i AS b, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d FROM ids a JOIN ids b ON a.i <> b.i",
+        "cores": f"SELECT a AS i, d AS core FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS n FROM gaps) WHERE n = {samples}",
+        "reach": f"""
+SELECT x.i, list(CASE WHEN x.i = y.i THEN {far} ELSE greatest(d, x.core, y.core) END ORDER BY y.i) AS w
+FROM cores x JOIN cores y ON true LEFT JOIN gaps ON a = x.i AND b = y.i GROUP BY x.i""",
+        "prim": f"""
+SELECT 0 AS step, CAST(1 AS BIGINT) AS b, CAST(1 AS BIGINT) AS a, 0.0::DOUBLE AS w, r.w AS near, list_transform(r.w, lambda x: CAST(1 AS BIGINT)) AS via, list_transform(r.w, lambda x, k: k = 1) AS used
+FROM reach r WHERE i = 1
+UNION ALL
+SELECT step + 1, j, via[j], low, list_transform(near, lambda x, k: least(x, r.w[k])), list_transform(via, lambda x, k: CASE WHEN r.w[k] < near[k] THEN j ELSE x END), list_transform(used, lambda x, k: x OR k = j)
+FROM (SELECT *, CAST(list_position(masked, low) AS BIGINT) AS j FROM (SELECT *, list_min(masked) AS low FROM (
+  SELECT *, list_transform(near, lambda x, k: CASE WHEN used[k] THEN {far} ELSE x END) AS masked FROM prim WHERE step < len(near) - 1))) JOIN reach r ON r.i = j""",
+        "links_": "SELECT a, b, w, row_number() OVER (ORDER BY w, a, b) AS k FROM prim WHERE step > 0",
+        "merged": """
+SELECT CAST(0 AS BIGINT) AS k, 0.0::DOUBLE AS w, list(i ORDER BY i) AS l FROM ids
+UNION ALL
+SELECT k, w, list_transform(l, lambda x: CASE WHEN x = gone THEN stays ELSE x END)
+FROM (SELECT e.k, e.w, l, greatest(l[e.a], l[e.b]) AS gone, least(l[e.a], l[e.b]) AS stays FROM merged JOIN links_ e ON e.k = merged.k + 1)""",
+        "levels": "SELECT row_number() OVER (ORDER BY w) AS r, w, l FROM (SELECT w, arg_max(l, k) AS l FROM merged WHERE k > 0 GROUP BY w)",
+        "held": "SELECT r, w, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM levels",
+        "bigs": f"SELECT r, c, any_value(w) AS w FROM held GROUP BY r, c HAVING count(*) >= {size}",
+        "inner_": "SELECT DISTINCT y.r, y.c, x.c AS child FROM bigs x JOIN held h ON h.r = x.r AND h.i = x.c JOIN held y ON y.r = x.r + 1 AND y.i = h.i",
+        "kids": "SELECT b.r, b.c, b.w, count(child) AS n, any_value(child) AS child FROM bigs b LEFT JOIN inner_ USING (r, c) GROUP BY ALL",
+        "chain": """
+SELECT r, c, r AS start, c AS head, w AS low FROM kids WHERE n <> 1
+UNION ALL
+SELECT k.r, k.c, start, head, low FROM chain JOIN kids k ON k.r = chain.r + 1 AND k.n = 1 AND k.child = chain.c""",
+        "ends": "SELECT start, head, low, max(r) AS r, arg_max(c, r) AS c FROM chain GROUP BY start, head, low",
+        "numbered_": "SELECT *, row_number() OVER (ORDER BY start, head) AS g FROM ends",
+        "clusters": """
+SELECT e.g, e.low, e.r, e.c, p.g AS parent, u.w AS high FROM numbered_ e LEFT JOIN inner_ k ON k.r = e.r + 1 AND k.child = e.c
+LEFT JOIN numbered_ p ON p.start = k.r AND p.head = k.c LEFT JOIN bigs u ON u.r = k.r AND u.c = k.c""",
+        "joined": "SELECT i, min(w) AS d FROM held JOIN bigs USING (r, c, w) GROUP BY i",
+        "weighed": """
+SELECT g, any_value(parent) AS parent, any_value(high) AS high, any_value(low) AS low,
+  sum(1 / greatest(j.d, low, 1e-9) - CASE WHEN high IS NULL THEN 0 ELSE 1 / greatest(high, 1e-9) END) AS mass
+FROM clusters s JOIN held h ON h.r = s.r AND h.c = s.c JOIN joined j ON j.i = h.i GROUP BY g""",
+        "mass_of": "SELECT list(mass ORDER BY g) AS m, list(coalesce(parent, 0) ORDER BY g) AS p FROM weighed",
+        "eom": """
+SELECT 0 AS g, list_transform(m, lambda x: 0.0::DOUBLE) AS under, list_transform(m, lambda x: false) AS keep FROM mass_of
+UNION ALL
+SELECT e.g + 1, list_transform(under, lambda x, k: CASE WHEN k = p[e.g + 1] THEN x + greatest(under[e.g + 1], CASE WHEN p[e.g + 1] = 0 THEN 0 ELSE m[e.g + 1] END) ELSE x END),
+  list_transform(keep, lambda x, k: CASE WHEN k = e.g + 1 THEN p[k] > 0 AND under[k] <= m[k] ELSE x END)
+FROM eom e, mass_of WHERE e.g < len(m)""",
+        "above": "SELECT g, parent AS a FROM weighed WHERE parent IS NOT NULL UNION ALL SELECT above.g, w.parent FROM above JOIN weighed w ON w.g = above.a WHERE w.parent IS NOT NULL",
+        "kept_": "SELECT unnest(keep) AS keep, generate_subscripts(keep, 1) AS g FROM (SELECT arg_max(keep, g) AS keep FROM eom)",
+        "tops": "SELECT k.g FROM kept_ k WHERE keep AND NOT EXISTS (SELECT 1 FROM above x JOIN kept_ y ON y.g = x.a WHERE x.g = k.g AND y.keep)",
+        "climb": f"""
+SELECT t.g AS here, high < {epsilon} AS go, 0 AS step FROM tops t JOIN weighed USING (g)
+UNION ALL
+SELECT CASE WHEN p.parent IS NULL THEN c.here ELSE p.g END, p.parent IS NOT NULL AND p.high <= {epsilon}, step + 1
+FROM climb c JOIN weighed w ON w.g = c.here JOIN weighed p ON p.g = w.parent WHERE go""",
+        "lifted": "SELECT DISTINCT here AS g FROM climb WHERE NOT go",
+        "picks": "SELECT g FROM lifted l WHERE NOT EXISTS (SELECT 1 FROM above x JOIN lifted y ON y.g = x.a WHERE x.g = l.g)",
+        "found": "SELECT h.i, s.g, s.low FROM picks JOIN clusters s USING (g) JOIN held h ON h.r = s.r AND h.c = s.c",
+        "labelled": """
+SELECT x.id, min(x.id) OVER (PARTITION BY g) AS c, g, least(1, greatest(low, 1e-9) / greatest(d, 1e-9)) AS s
+FROM ids x LEFT JOIN found USING (i) LEFT JOIN joined USING (i)""",
+    }
