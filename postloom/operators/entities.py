@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE_CHARS, TOKEN_AND_BLANK, strip
+from ..functions.arrays import explode_once
+from ..functions.text import SPACE_CHARS, TOKEN_AND_BLANK, let, strip
 
 # text -> array<struct<token, ent>>; token carries its trailing blank
 EntityTagger = Callable[[Column], Column]
@@ -51,6 +52,18 @@ def _in_list(c: Column, names: Iterable[str]) -> Column:
     return c.isin(names) if names else F.lit(False)
 
 
+def _covered(cores: Column, i: Column, length: int, is_name: Callable[[Column], Column]) -> Column:
+    """Token ``i`` lies inside a run of ``length`` tokens that is a name."""
+    if length == 1:
+        return is_name(cores[i])
+    hit = F.lit(False)
+    for back in range(length):
+        first = i - back
+        there = (first >= 0) & (first + length <= F.size(cores))
+        hit = hit | (there & is_name(F.array_join(F.slice(cores, F.greatest(first, F.lit(0)) + 1, length), " ")))
+    return hit
+
+
 def _protected(cores: Column, i: Column, whitelist: Sequence[str]) -> Column:
     """Token ``i`` lies inside an occurrence of a whitelisted phrase."""
     by_length: dict[int, list[str]] = {}
@@ -58,24 +71,25 @@ def _protected(cores: Column, i: Column, whitelist: Sequence[str]) -> Column:
         by_length.setdefault(len(phrase.split()), []).append(" ".join(phrase.split()))
     hit = F.lit(False)
     for n, phrases in by_length.items():
-        for back in range(n):
-            first = i - back
-            there = (first >= 0) & (first + n <= F.size(cores))
-            text = F.array_join(F.slice(cores, F.greatest(first, F.lit(0)) + 1, n), " ")
-            hit = hit | (there & _in_list(text, phrases))
+        hit = hit | _covered(cores, i, n, lambda run, phrases=phrases: _in_list(run, phrases))
     return hit
 
 
-def _kept(toks: Column, is_entity: Callable[[Column], Column], whitelist: Sequence[str], mode: str) -> Column:
-    if mode == "token":
-        single = [w for w in whitelist if " " not in w]
-        keep = F.filter(toks, lambda t: ~is_entity(t) | _in_list(_core(t), single))
-    elif mode == "phrase":
-        cores = F.transform(toks, _core)
-        keep = F.filter(toks, lambda t, i: ~is_entity(t) | _protected(cores, i, whitelist))
-    else:
+def _kept(toks: Column, lengths: Sequence[int], is_name: Callable[[Column], Column], whitelist: Sequence[str], mode: str) -> Column:
+    if mode not in ("token", "phrase"):
         raise ValueError(f"mode must be 'token' or 'phrase', not {mode!r}")
-    return strip(F.array_join(keep, ""))
+    single = [w for w in whitelist if " " not in w]
+
+    def keep(cores: Column) -> Column:
+        def stays(t: Column, i: Column) -> Column:
+            named = F.lit(False)
+            for n in lengths:
+                named = named | _covered(cores, i, n, is_name)
+            return ~named | (_in_list(_core(t), single) if mode == "token" else _protected(cores, i, whitelist))
+
+        return F.filter(toks, stays)
+
+    return strip(F.array_join(let(F.transform(toks, _core), keep), ""))
 
 
 def strip_tagged(c: Column, tagger: EntityTagger, whitelist: Sequence[str] = TECH_WHITELIST) -> Column:
@@ -93,22 +107,43 @@ def strip_entities(
     mode: str = "token",
     tagger: EntityTagger | None = None,
 ) -> DataFrame:
-    """Rewrite ``text`` without entity tokens, spacing of the rest kept.
+    """Rewrite ``text`` without the tokens of names, spacing of the rest kept.
 
-    ``gazetteer`` has one column ``token``. The distinct tokens of each distinct
-    text meet the names; what was found comes back by the text's digest and
-    the text is rewritten inside its row. So rows need no key, equal texts are
-    looked up once, texts without a name never move, and null texts stay null.
+    ``gazetteer`` has one column ``token``, a name of one or several tokens; a token
+    goes if any name covers it. The distinct runs of tokens of each row meet the
+    names; what was found comes back by the text's digest, and only texts with a name
+    are cut into tokens again. Rows need no key, repeated ones get equal texts,
+    null texts stay null, and columns may have any name.
     """
     if tagger is not None:
         return df.withColumn(text, strip_tagged(F.col(text), tagger, whitelist))
-    names = gazetteer.select(F.lower("token").alias("_token")).where("_token is not null").distinct()
-    digest = F.md5(F.col(text).cast("binary"))
-    cores = F.array_distinct(F.transform(tokens(F.col(text)), _core))
-    own = df.select(digest.alias("_digest"), cores.alias("_cores")).where(F.size("_cores") > 0)
-    seen = own.select("_digest", F.explode("_cores").alias("_token"))
-    hits = seen.join(names, "_token").groupBy("_digest").agg(F.collect_set("_token").alias("_hits"))
-    met = df.withColumn("_digest", digest).join(hits, "_digest", "left")
-    kept = _kept(tokens(F.col(text)), lambda t: F.array_contains("_hits", _core(t)), whitelist, mode)
-    plain = strip(F.array_join(tokens(F.col(text)), ""))
-    return met.withColumn(text, F.when(F.col("_hits").isNull(), plain).otherwise(kept)).select(*df.columns)
+    name = F.array_join(F.transform(tokens(F.col("token")), _core), " ")
+    names = gazetteer.where("token is not null").select(name.alias("run")).where("run <> ''").distinct()
+    # As many lengths as the longest name has tokens.
+    lengths = sorted(r.n for r in names.select((F.size(F.split("run", " "))).alias("n")).distinct().collect())
+    if not lengths:
+        return df.withColumn(text, strip(F.col(text)))
+    digest, hits = (_unused(c, df.columns) for c in ("digest", "hits"))
+    of = F.md5(F.col(text).cast("binary")).alias(digest)
+    runs = let(F.transform(tokens(F.col(text)), _core), lambda c: F.array_distinct(F.flatten(F.array(*(_runs(c, n) for n in lengths)))))
+    seen = explode_once(df, [of], runs, "run").select(digest, "run")
+    found = seen.join(names, "run").groupBy(digest).agg(F.collect_set("run").alias(hits))
+    met = df.withColumn(digest, of).join(found, digest, "left")
+    kept = _kept(tokens(F.col(text)), lengths, lambda run: F.array_contains(hits, run), whitelist, mode)
+    return met.withColumn(text, F.when(F.col(hits).isNull(), strip(F.col(text))).otherwise(kept)).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _runs(cores: Column, n: int) -> Column:
+    """Runs of ``n`` tokens, joined."""
+    if n == 1:
+        return cores
+    places = F.when(F.size(cores) >= n, F.sequence(F.lit(1), F.size(cores) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.array_join(F.slice(cores, i, n), " "))
+
+
+def _unused(name: str, columns: Sequence[str]) -> str:
+    """A column name that the input does not have, in any case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

@@ -258,12 +258,12 @@ def _nearest(query: np.ndarray, reach: np.ndarray, v: np.ndarray, ids: list, k:
     return out
 
 
-def nearest_lists(points: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> tuple[DataFrame, DataFrame, Leaves]:
+def nearest_lists(points: DataFrame, k: int, leaf_rows: int = LEAF_ROWS, bound: DataFrame | None = None) -> tuple[DataFrame, DataFrame, Leaves]:
     """((rep, p), (rep, ids, v, leaf), leaves): the ``k + 1`` entries (distance, neighbour) nearest to every distinct vector.
 
     ``points`` has (id, v). A vector finds itself and its copies first. The
-    in-leaf answer bounds the distance of the k-th neighbour; that bound decides
-    which other leaves have to be asked.
+    in-leaf answer bounds the distance of the k-th neighbour; that bound, or a
+    smaller ``bound`` (id, r) that is known to hold, decides which other leaves have to be asked.
     """
     id_type = points.schema["id"].dataType.simpleString()
     reps = _fold_copies(points.select("id", F.col("v").cast("array<double>").alias("v")), k)
@@ -285,6 +285,9 @@ def nearest_lists(points: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> tupl
     if t.n > 1:
         own = settle(own)
         answers = own.select("rep", "found", "gaps")
+        if bound is not None:
+            known = bound.select(F.col("id").alias("rep"), F.col("r").alias("_r"))
+            own = own.join(known, "rep", "left").withColumn("r", F.least("r", F.coalesce("_r", "r"))).drop("_r")
 
         def elsewhere(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(g):
@@ -305,12 +308,13 @@ def nearest_lists(points: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> tupl
     return best, located, t
 
 
-def knn_graph(points: DataFrame, k: int = 15, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def knn_graph(points: DataFrame, k: int = 15, leaf_rows: int = LEAF_ROWS, bound: DataFrame | None = None) -> DataFrame:
     """(id, rank, neighbour, distance): the exact ``k`` nearest others.
 
-    ``points`` has (id, v). Equal distances are ordered by id.
+    ``points`` has (id, v). Equal distances are ordered by id. ``bound`` (id, r) may
+    say within which distance the ``k`` nearest lie, e.g. from approximate lists.
     """
-    best, located, _ = nearest_lists(points, k, leaf_rows)
+    best, located, _ = nearest_lists(points, k, leaf_rows, bound)
     members = _members(points, located)
     others = F.slice(F.filter("p", lambda e: e["neighbour"] != F.col("id")), 1, k)
     return members.join(best, "rep").select("id", F.posexplode(others).alias("rank", "e")).select(

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..operators import topics as T
 from ..operators.embed import Encoder, as_array, embed_text, reduce_dims
-from ..operators.neighbours import density_cluster
+from ..operators.density_tree import density_tree
+from ..operators.neighbours import knn_graph
+from ..operators.spectral import spectral_embedding
 from ..session import settle
 from ..sources.files import require_columns
 from .clean import join_paragraphs
@@ -57,7 +59,7 @@ def embedded_documents(paras: DataFrame, mean: bool, encoder: Encoder | None, fe
 def discover_topics(
     paras: DataFrame,
     mean: bool = False,
-    reduce: bool = True,
+    reduce: bool | str = True,
     encoder: Encoder | None = None,
     dims: int = 10,
     features: int = 256,
@@ -68,22 +70,32 @@ def discover_topics(
 ) -> Topics:
     """Embed, reduce, cluster and describe paragraphs (or pooled posts).
 
-    What several results share is written once to the shared folder.
+    ``reduce``: principal components, nothing, or "graph" for the eigenvectors of the
+    neighbour graph. A document's probability is how long it stays in its
+    cluster beside those that stay longest, 0 for outliers. What several
+    results share is written once to the shared folder.
     """
     docs = embedded_documents(paras, mean, encoder, features)
-    if reduce:
+    if reduce == "graph":
+        docs = settle(as_array(docs, out="_v"))
+        axes = spectral_embedding(knn_graph(docs.select(F.col("doc_id").alias("id"), F.col("_v").alias("v"))), dims).vectors
+        # Columns have unit length over all documents; distances are told in units of one.
+        scale = docs.count() ** 0.5
+        axes = axes.select(F.col("id").alias("doc_id"), array_to_vector(F.transform("v", lambda x: x * scale)).alias("embedding"))
+        docs = docs.drop("embedding", "_v").join(axes, "doc_id")
+    elif reduce:
         docs = reduce_dims(settle(docs), dims).drop("embedding").withColumnRenamed("reduced", "embedding")
     docs = settle(as_array(docs).drop("embedding"))
-    clusters = density_cluster(docs.select(F.col("doc_id").alias("id"), "v"), min_cluster_size, min_samples, epsilon)
-    assigned = settle(T.assign_topics(clusters.withColumnRenamed("id", "doc_id"), key="doc_id"))
-    placed = settle(docs.join(assigned, "doc_id"))
+    clusters = settle(density_tree(docs.select(F.col("doc_id").alias("id"), "v"), min_cluster_size, min_samples, epsilon).withColumnRenamed("id", "doc_id"))
+    assigned = T.assign_topics(clusters, key="doc_id").join(clusters.select("doc_id", F.col("strength").alias("probability")), "doc_id")
+    assigned = settle(assigned)
+    placed = settle(docs.join(assigned.drop("probability"), "doc_id"))
     weights = settle(T.class_tfidf(T.topic_terms(placed, stop_words=stop_words)))
     sizes = placed.groupBy("topic").agg(F.count("*").alias("count"))
     info = settle(T.topic_info(weights, sizes))
     representatives = T.representative_docs(T.document_terms(placed, stop_words=stop_words), weights)
-    membership = T.topic_membership(placed)
-    documents = T.document_info(placed.select("doc_id", "des_id", "par_id", "text"), membership, info, representatives)
-    return Topics(info, documents, T.topic_mean_probability(membership, info), weights, placed.select("doc_id", "v", "topic"))
+    documents = T.document_info(placed.select("doc_id", "des_id", "par_id", "text"), assigned, info, representatives)
+    return Topics(info, documents, T.topic_mean_probability(assigned, info), weights, placed.select("doc_id", "v", "topic"))
 
 
 def save_topics(topics: Topics, path: str) -> None:

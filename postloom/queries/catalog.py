@@ -13,6 +13,7 @@ from ..functions import arrays, labels, text, vectors
 from ..operators import (
     classify,
     dedupe,
+    descent,
     embed,
     entities,
     filters,
@@ -22,6 +23,7 @@ from ..operators import (
     sampling,
     segment,
     spans,
+    spectral,
     stats,
     topics,
 )
@@ -131,7 +133,9 @@ def _read_labelled_jsonl(spark, d):
     name = F.when(F.col("quality") == 1, "JOB").otherwise("CONTEXT")
     tags = F.when(F.col("toxic") == 0, F.array(name)).otherwise(F.array().cast("array<string>"))
     rows = views.table(spark, d, "labels").join(views.table(spark, d, "documents"), "doc_id")
-    return files.first_labels(rows.select("text", tags.alias("label")))
+    path = scratch_path(spark, "labelled")
+    rows.select(F.to_json(F.struct("text", tags.alias("label")))).write.text(path)
+    return files.read_labelled_jsonl(spark, path)
 
 
 @query(
@@ -139,13 +143,18 @@ def _read_labelled_jsonl(spark, d):
     """SELECT doc_id AS id, CAST(to_json({'id': doc_id, 'text': text}) AS VARCHAR) AS value FROM documents""",
 )
 def _write_annotation_jsonl(spark, d):
-    tasks = views.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return files.annotation_lines(tasks).select(F.get_json_object("value", "$.id").cast("bigint").alias("id"), "value")
+    path = scratch_path(spark, "tasks")
+    files.write_annotation_jsonl(views.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.id").cast("bigint").alias("id"), "value")
 
 
 @query("write_text_dump", """SELECT concat('id:', doc_id, '  TEXT:', chr(10), text, chr(10), chr(10)) AS value FROM documents""")
 def _write_text_dump(spark, d):
-    return files.text_dump(views.table(spark, d, "documents").withColumnRenamed("doc_id", "id"))
+    path = scratch_path(spark, "dump")
+    files.write_text_dump(views.table(spark, d, "documents").withColumnRenamed("doc_id", "id"), path)
+    # A record ends with two line breaks of its own and one of the file.
+    records = spark.read.option("lineSep", "\n\n\n").text(path)
+    return records.select(F.concat("value", F.lit("\n\n")).alias("value"))
 
 
 _UNSEEN = f"regexp_replace(html, '{sql.UNSEEN}', '', 'g')"
@@ -338,7 +347,7 @@ def _predict_label(spark, d):
 
 @query(
     "l2_normalize",
-    """SELECT vec_id, round(v[1], 6) AS v1, round(v[64], 6) AS v64, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS n FROM (
+    """SELECT vec_id, list_transform(v, lambda x: round(x, 6)) AS v, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS n FROM (
          SELECT vec_id, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i / sqrt(list_sum(list_transform(embedding,
            lambda y, j: CAST(y AS DOUBLE) * j * (CAST(y AS DOUBLE) * j))))) AS v FROM embeddings)""",
 )
@@ -346,12 +355,7 @@ def _l2_normalize(spark, d):
     stretched = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
     rows = views.table(spark, d, "embeddings").select("vec_id", stretched.alias("e"))
     rows = rows.select("vec_id", vectors.l2_normalize(F.col("e")).alias("v"))
-    return rows.select(
-        "vec_id",
-        F.round(F.col("v")[0], 6).alias("v1"),
-        F.round(F.col("v")[63], 6).alias("v64"),
-        F.round(F.pow(vectors.l2_norm(F.col("v")), 2), 6).alias("n"),
-    )
+    return rows.select("vec_id", F.transform("v", lambda x: F.round(x, 6)).alias("v"), F.round(F.pow(vectors.l2_norm(F.col("v")), 2), 6).alias("n"))
 
 
 # --- filters -------------------------------------------------------------------------
@@ -894,8 +898,10 @@ def _collect_ordered_paragraphs(spark, d):
     return rows.withColumn("texts", F.array_join("texts", "\n"))
 
 
+# One span every 97 characters of the whole text, of 5 to 24 characters.
 _RAW_SPANS = """SELECT des_id, text, a, b FROM (
-  SELECT doc_id AS des_id, text, doc_id % 20 AS a, doc_id % 20 + 5 + doc_id % 7 AS b FROM documents)
+  SELECT des_id, text, a, a + 5 + (a + des_id) % 20 AS b FROM (
+    SELECT doc_id AS des_id, text, unnest(range(doc_id % 20, length(text), 97)) AS a FROM documents))
   WHERE b <= length(text)"""
 
 
@@ -911,11 +917,10 @@ _RAW_SPANS = """SELECT des_id, text, a, b FROM (
     ),
 )
 def _align_spans(spark, d):
-    a, b = F.col("doc_id") % 20, F.col("doc_id") % 20 + 5 + F.col("doc_id") % 7
-    one = F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit("HEADER").alias("label"))
-    docs = views.table(spark, d, "documents").select(
-        F.col("doc_id").alias("des_id"), "text", F.array(one).alias("spans")
-    )
+    first, n = (F.col("doc_id") % 20).cast("int"), F.length("text")
+    places = F.when(first < n, F.sequence(first, n - 1, F.lit(97))).otherwise(F.array().cast("array<int>"))
+    one = lambda a: F.struct(a.alias("start"), (a + 5 + (a + F.col("doc_id")) % 20).cast("int").alias("end"), F.lit("HEADER").alias("label"))
+    docs = views.documents(spark, d).select(F.col("doc_id").alias("des_id"), "text", F.transform(places, one).alias("spans"))
     return spans.align_spans(docs)
 
 
@@ -1292,6 +1297,45 @@ def _knn_graph(spark, d):
     return neighbours.knn_graph(views.blobs(spark, d), leaf_rows=100).withColumn("distance", F.round("distance", 6))
 
 
+_RAW_DIST = "sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2]))))"
+
+
+def _raw_vectors(spark, d):
+    return views.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query(
+    "knn_confirmed",
+    f"""SELECT id, rank, neighbour, round(distance, 6) AS distance FROM (SELECT a.vec_id AS id, b.vec_id AS neighbour, {_RAW_DIST} AS distance,
+          CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {_RAW_DIST}, b.vec_id) AS INT) AS rank
+        FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 15""",
+)
+def _knn_confirmed(spark, d):
+    # Lists of neighbours of neighbours, then the exact search within the distances they prove.
+    rows = _raw_vectors(spark, d)
+    bound = descent.reach(descent.knn_descent(rows), 15)
+    return neighbours.knn_graph(rows, leaf_rows=250, bound=bound).withColumn("distance", F.round("distance", 6))
+
+
+@query("knn_descent", "SELECT count(*) * 15 AS n_pairs, true AS most_found FROM embeddings")
+def _knn_descent(spark, d):
+    rows = _raw_vectors(spark, d)
+    exact = neighbours.knn_graph(rows).select("id", "neighbour", F.lit(1).alias("hit"))
+    found = descent.knn_descent(rows).join(exact, ["id", "neighbour"], "left")
+    return found.agg(F.count("*").alias("n_pairs"), (F.count("hit") >= 0.98 * F.count("*")).alias("most_found"))
+
+
+@query("spectral_embedding", "SELECT count(*) AS n, CAST(9 AS INT) AS dims, true AS orthonormal, true AS eigenvectors FROM embeddings")
+def _spectral_embedding(spark, d):
+    spectrum = spectral.spectral_embedding(neighbours.knn_graph(views.blobs(spark, d)), 9)
+    cells = F.transform("v", lambda x: F.transform("v", lambda y: x * y))
+    sums = spectrum.vectors.select(F.posexplode(F.flatten(cells)).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+    off = F.abs(F.col("x") - F.when(F.col("i") % 10 == 0, 1).otherwise(0))
+    straight = sums.agg((F.max(off) < 1e-6).alias("orthonormal"))
+    sizes = spectrum.vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"))
+    return sizes.join(straight).withColumn("eigenvectors", F.lit(max(spectrum.residuals) < 0.05))
+
+
 _DENSITY = {
     "near": f"SELECT a.id, b.id AS other FROM blobs a JOIN blobs b ON a.id <> b.id AND {_DIST} <= 0.1",
     "core": "SELECT id FROM near GROUP BY id HAVING count(*) >= 15",
