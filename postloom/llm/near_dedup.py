@@ -369,12 +369,13 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """(doc_id, t, n_shingles, component_id, kept), one row per row of ``docs``.
+    """(doc_id, t, n_shingles, component_id, group_key, kept), one row per row of ``docs``.
 
     docs: doc_id bigint, text string; other columns are not read. Documents are
     linked if their shingle sets have a Jaccard similarity of ``threshold`` (whole
     percents) or more; component_id is the smallest doc_id reachable. t is
-    xxhash64(text), so (doc_id, t) finds the row again.
+    xxhash64(text), so (doc_id, t) finds the row again; group_key tells components
+    apart whatever their ids, and is null for rows without shingles.
 
     Null and blank texts have no shingles, form their own component and are kept.
     Null doc_ids are never the smallest if a component has another; a component
@@ -400,11 +401,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     roots = connected(links)
     placed = classes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     least = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
-    final = placed.join(least, "comp").select("f1", "f2", "component_id")
+    final = placed.join(least, "comp").select("f1", "f2", "component_id", F.col("comp").alias("group_key"))
     return (
         sigs.select("doc_id", "t", "n", "f1", "f2")
         .join(final, ["f1", "f2"], "left")
-        .select("doc_id", "t", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", "t", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("group_key")).alias("group_key"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 

@@ -86,7 +86,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("t")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("t", "group_key")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

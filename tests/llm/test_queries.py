@@ -62,3 +62,11 @@ def test_equal_rows_leave_one(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "x"), (None, "x")], "doc_id bigint, text string")
     assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SMALL).collect()), key=str) == [(1, "a b c d e f"), (None, "x")]
     assert near_duplicates(docs).count() == 5
+
+
+def test_groups_leave_one_whatever_their_ids(spark):
+    near = lambda n, x: " ".join([*(f"word{i}" for i in range(60)), x] if n else [*(f"other{i}" for i in range(60)), x])
+    rows = [(1, near(1, "a"), "x"), (1, near(1, "b"), "x"), (2, near(1, "c"), "x"), (None, near(0, "d"), "x"), (None, near(0, "e"), "x"), (5, None, "x"), (5, "", "x"), (5, "", "x")]
+    docs = spark.createDataFrame([(*r, 3) for r in rows], "doc_id bigint, text string, _doc string, _row int")
+    found = corpus_pipeline.near_dedup(spark, docs, SMALL).collect()
+    assert Counter(r.doc_id for r in found) == {1: 1, None: 1, 5: 2} and all(r._doc == "x" and r._row == 3 for r in found)
