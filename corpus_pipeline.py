@@ -27,30 +27,53 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a model trained on their labels does not reject."""
+    """Documents that a model trained on their labels does not reject.
+
+    Rows that repeat an id and a text share their score; null and empty texts are
+    scored as empty; long texts are read whole. Other columns pass, whatever their names. No rows
+    give no rows.
+    """
     return reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; of rows alike in id and text, one."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t")).distinct()
-    own = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_x"))
-    met = own.join(kept, F.col("_x").eqNullSafe(F.col("_t")) & F.col("_id").eqNullSafe(F.col("_doc")))
+    """One row of each group of near duplicates: the smallest doc_id, then the smallest hash of a text.
+
+    A group of null ids keeps one row as well. Null and blank texts are in no group; of
+    rows alike in id and text one stays. No rows give no rows.
+    """
+    own = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), F.col("group_key").alias("_group"))
+    first = own.where("_group is not null").groupBy("_group").agg(F.min(F.struct("_doc", "_t")).alias("_one")).select("_one.*")
+    kept = first.union(own.where("_group is null").select("_doc", "_t")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_x"))
+    met = rows.join(kept, F.col("_x").eqNullSafe(F.col("_t")) & F.col("_id").eqNullSafe(F.col("_doc")))
     return met.dropDuplicates(["_id", "_x"]).select("_row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, live and shared credentials masked."""
+    """All documents, live and shared credentials masked.
+
+    Every row stays, repeated ones and those with null ids or texts as well; only
+    text and n_chars change. No rows give no rows.
+    """
     return redact_secrets(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
+    """Documents as often as the mix of their sources takes them.
+
+    Repeated rows are documents of their own; a null source is a source; null and
+    empty texts weigh nothing and stay out of the count. No rows give no rows.
+    """
     return mixed_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece with its sequence and offset."""
+    """A row per piece with its sequence and offset.
+
+    Every row is packed, repeated ones and null ids too; a null or empty text is one
+    token, a long one is cut. No rows give no rows.
+    """
     return pack(docs, public_tokenizers.path(VOCABULARY))
 
 
