@@ -9,6 +9,7 @@ shuffle, and never collected whole.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -59,6 +60,18 @@ def ngrams(tokens: Column, low: int, high: int) -> Column:
     return let(tokens, lambda t: grow(t, t, 1))
 
 
+def gram_ids(tokens: Column, low: int, high: int) -> Column:
+    """The same runs as 64-bit numbers: without the texts where only their equality counts."""
+
+    def runs(t: Column, n: int) -> Column:
+        if n == 1:
+            return F.transform(t, lambda x: F.xxhash64(x))
+        places = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.xxhash64(*(F.get(t, i + k) for k in range(n))))
+
+    return let(tokens, lambda t: F.flatten(F.array(*(runs(t, n) for n in range(low, high + 1)))))
+
+
 def counted(items: Column) -> Column:
     """array<struct<term, tf>>: distinct items with their counts, inside the row."""
 
@@ -80,10 +93,10 @@ def counted(items: Column) -> Column:
 
 
 def document_terms(
-    docs: DataFrame, key: Sequence[str] = ("doc_id",), n: tuple[int, int] = (1, 3), stop_words: Sequence[str] | None = None
+    docs: DataFrame, key: Sequence[str] = ("doc_id",), n: tuple[int, int] = (1, 3), stop_words: Sequence[str] | None = None, ids: bool = False
 ) -> DataFrame:
-    """(key, topic, term, tf); a document is one row, so counting needs no shuffle."""
-    grams = ngrams(topic_tokens(F.col("text"), stop_words), *n)
+    """(key, topic, term, tf); a document is one row, so counting needs no shuffle. With ``ids`` terms are numbers."""
+    grams = (gram_ids if ids else ngrams)(topic_tokens(F.col("text"), stop_words), *n)
     return explode_once(docs, [*key, "topic"], counted(grams), "_t").select(*key, "topic", "_t.term", "_t.tf")
 
 
@@ -93,9 +106,10 @@ def topic_terms(
     min_df: float = 0.1,
     max_df: float = 0.8,
     stop_words: Sequence[str] | None = None,
+    ids: bool = False,
 ) -> DataFrame:
-    """(topic, term, tf) of the terms that occur in enough, but not too many topics."""
-    grams = ngrams(topic_tokens(F.col("text"), stop_words), *n)
+    """(topic, term, tf) of the terms that occur in enough, but not too many topics. With ``ids`` terms are numbers."""
+    grams = (gram_ids if ids else ngrams)(topic_tokens(F.col("text"), stop_words), *n)
     per_topic = explode_once(docs, ["topic"], grams, "term").groupBy("topic", "term").agg(F.count("*").alias("tf"))
     n_topics = docs.agg(F.count_distinct("topic")).scalar()
     # A term has at most one row per topic here, so the window groups are small.
@@ -321,6 +335,67 @@ def topic_similarity(weights: DataFrame) -> DataFrame:
     return parts.groupBy("topic_a", "topic_b").agg(F.sum("part").alias("similarity"))
 
 
+#: With at most so many pairs left, merging goes on in one place.
+LOCAL_PAIRS = 100_000
+
+
+def _merge_here(rows: list) -> list[tuple]:
+    """(topic_a, topic_b, similarity, size) for few pairs, the most similar first."""
+    near: dict = {}
+    size: dict = {}
+    for r in rows:
+        near.setdefault(r.a, {})[r.b] = r.u
+        size[r.a] = r.na
+    heap = [(-u / (size[a] * size[b]), a, b, size[a], size[b]) for a, others in near.items() for b, u in others.items() if a < b]
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        less, a, b, na, nb = heapq.heappop(heap)
+        if size.get(a) != na or size.get(b) != nb:
+            continue  # one of them has grown or gone
+        others = near.pop(b)
+        size[a] = na + size.pop(b)
+        out.append((a, b, -less, size[a]))
+        del near[a][b], others[a]
+        for c, u in others.items():
+            del near[c][b]
+            near[a][c] = near[c][a] = near[a].get(c, 0.0) + u
+        for c, u in near[a].items():
+            x, y = min(a, c), max(a, c)
+            heapq.heappush(heap, (-u / (size[a] * size[c]), x, y, size[x], size[y]))
+    return out
+
+
+def topic_hierarchy(similarity: DataFrame, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
+    """(topic_a, topic_b, similarity, size): merges of topics by the mean similarity of their members.
+
+    ``similarity`` has (topic_a, topic_b, similarity), pairs without a row have none. A
+    merged topic keeps the smaller number and counts ``size`` topics. Pairs that are each other's
+    most similar merge in one round, which gives what merging the most similar
+    pair again and again does. Topics that share nothing with others do not merge.
+    """
+    kind = similarity.schema["topic_a"].dataType.simpleString()
+    both = similarity.select(F.col("topic_a").alias("a"), F.col("topic_b").alias("b"), F.col("similarity").alias("u")).where("a <> b")
+    # Sums over pairs of members add up when topics merge, means do not.
+    sums = settle(both.union(both.select("b", "a", "u")).where("u > 0").withColumns({"na": F.lit(1).cast("bigint"), "nb": F.lit(1).cast("bigint")}))
+    merges = sums.sparkSession.createDataFrame([], f"topic_a {kind}, topic_b {kind}, similarity double, size bigint")
+    while sums.count() > local_pairs:
+        mean = F.col("u") / (F.col("na") * F.col("nb"))
+        first = F.min(F.struct((-mean).alias("m"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), (F.col("na") + F.col("nb")).alias("size")))
+        chosen = sums.groupBy("a").agg(first.alias("e"))
+        pairs = settle(chosen.groupBy("e.x", "e.y").agg(F.count("*").alias("n"), F.first("e.m").alias("m"), F.first("e.size").alias("size")).where("n = 2"))
+        merges = settle(merges.union(pairs.select("x", "y", -F.col("m"), "size")))
+        to = lambda c: pairs.select(F.col("y").alias(c), F.col("x").alias(f"_{c}"))
+        grown = lambda c: pairs.select(F.col("x").alias(c), F.col("size").alias(f"_n{c}"))
+        moved = sums.join(to("a"), "a", "left").join(to("b"), "b", "left")
+        moved = moved.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "u", "na", "nb").where("a <> b")
+        moved = moved.groupBy("a", "b").agg(F.sum("u").alias("u"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+        moved = moved.join(grown("a"), "a", "left").join(grown("b"), "b", "left")
+        sums = settle(moved.select("a", "b", "u", F.coalesce("_na", "na").alias("na"), F.coalesce("_nb", "nb").alias("nb")))
+    rest = _merge_here(sums.collect())  # at most ``local_pairs`` rows
+    return merges.union(merges.sparkSession.createDataFrame(rest, merges.schema))
+
+
 # --- paragraph vectors -----------------------------------------------------------
 
 

@@ -1032,12 +1032,12 @@ def _topic_cte(last: str) -> dict[str, str]:
     return _upto(sql.TOPIC_VIEWS, last)
 
 
-def _terms(spark, d):
-    return topics.topic_terms(views.topics(spark, d), stop_words=views.STOP_WORDS)
+def _terms(spark, d, ids: bool = False):
+    return topics.topic_terms(views.topics(spark, d), stop_words=views.STOP_WORDS, ids=ids)
 
 
-def _weights(spark, d):
-    return topics.class_tfidf(_terms(spark, d))
+def _weights(spark, d, ids: bool = False):
+    return topics.class_tfidf(_terms(spark, d, ids))
 
 
 def _sizes(spark, d):
@@ -1089,14 +1089,15 @@ _REPS = {
 }
 
 
-def _representatives(spark, d, weights: DataFrame):
-    doc_terms = topics.document_terms(views.topics(spark, d), stop_words=views.STOP_WORDS)
-    return topics.representative_docs(doc_terms, weights)
+def _representatives(spark, d):
+    """Only equal terms have to meet here, so they travel as numbers."""
+    doc_terms = topics.document_terms(views.topics(spark, d), stop_words=views.STOP_WORDS, ids=True)
+    return topics.representative_docs(doc_terms, _weights(spark, d, ids=True))
 
 
 @query("representative_docs", with_views("SELECT topic, rank, doc_id, score FROM reps", "topics", extra=_REPS))
 def _representative_docs(spark, d):
-    return _representatives(spark, d, _weights(spark, d))
+    return _representatives(spark, d)
 
 
 @query(
@@ -1112,8 +1113,7 @@ def _document_info(spark, d):
     docs = views.topics(spark, d)
     probability = (((F.col("doc_id") * 37) % 101 + 1) / F.lit(102.0)).cast("double")
     membership = docs.select("doc_id", "topic", probability.alias("probability"))
-    weights = settle(_weights(spark, d))
-    out = topics.document_info(docs, membership, _info(spark, d, weights), _representatives(spark, d, weights))
+    out = topics.document_info(docs, membership, _info(spark, d), _representatives(spark, d))
     return out.drop("text").withColumn("words", F.array_join("words", ","))
 
 
@@ -1131,7 +1131,41 @@ def _document_info(spark, d):
     ),
 )
 def _topic_similarity(spark, d):
-    return topics.topic_similarity(_weights(spark, d)).withColumn("similarity", F.round("similarity", 6))
+    return topics.topic_similarity(_weights(spark, d, ids=True)).withColumn("similarity", F.round("similarity", 6))
+
+
+_HIERARCHY = {
+    **_topic_cte("weights"),
+    "norms": "SELECT topic, sqrt(sum(weight * weight)) AS norm FROM weights GROUP BY topic",
+    "alike_": """SELECT a.topic AS a, b.topic AS b, sum(a.weight * b.weight) / any_value(n.norm * o.norm) AS s FROM weights a JOIN weights b ON a.term = b.term AND a.topic < b.topic
+       JOIN norms n ON n.topic = a.topic JOIN norms o ON o.topic = b.topic GROUP BY a.topic, b.topic""",
+    "t_": "SELECT topic, row_number() OVER (ORDER BY topic) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT topic FROM weights)",
+    # One list holds the sums of all pairs, row by row; a step adds a row and a column to another.
+    "step": """
+SELECT 0 AS k, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, 0.0::DOUBLE AS s, list(coalesce(l.s, 0.0) ORDER BY x.i, y.i) AS u, any_value(x.n) AS n,
+  list_transform(range(any_value(x.n)), lambda z: CAST(1 AS BIGINT)) AS size
+FROM t_ x JOIN t_ y ON true LEFT JOIN alike_ l ON l.a = least(x.topic, y.topic) AND l.b = greatest(x.topic, y.topic)
+UNION ALL
+SELECT k + 1, i, j, best, list_transform(u, lambda v, z: CASE WHEN (z - 1) // n + 1 = j OR (z - 1) % n + 1 = j OR (z - 1) // n = (z - 1) % n THEN 0.0
+    WHEN (z - 1) // n + 1 = i THEN v + u[(j - 1) * n + (z - 1) % n + 1] WHEN (z - 1) % n + 1 = i THEN v + u[((z - 1) // n) * n + j] ELSE v END), n,
+  list_transform(size, lambda v, z: CASE WHEN z = i THEN v + size[j] ELSE v END)
+FROM (SELECT k, u, n, size, best, (here - 1) // n + 1 AS i, (here - 1) % n + 1 AS j FROM (
+  SELECT *, CAST(list_position(means, best) AS BIGINT) AS here FROM (SELECT *, list_max(means) AS best FROM (
+    SELECT k, u, n, size, list_transform(u, lambda v, z: v / (size[(z - 1) // n + 1] * size[(z - 1) % n + 1])) AS means FROM step)))) WHERE best > 0""",
+}
+
+
+@query(
+    "topic_hierarchy",
+    with_views(
+        "SELECT a.topic AS topic_a, b.topic AS topic_b, round(s, 6) AS similarity, size[step.i] AS size FROM step JOIN t_ a ON a.i = step.i JOIN t_ b ON b.i = step.j WHERE k > 0",
+        "topics",
+        extra=_HIERARCHY,
+    ),
+)
+def _topic_hierarchy(spark, d):
+    merges = topics.topic_hierarchy(topics.topic_similarity(_weights(spark, d, ids=True)))
+    return merges.withColumn("similarity", F.round("similarity", 6))
 
 
 _CLUSTERS = "SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN CAST(doc_id * doc_id % 23 AS BIGINT) END AS component FROM documents"
