@@ -44,6 +44,8 @@ KINDS = (
     ("login", re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s/:@]+:([^\s/@]+)@"), 1, 1, ("://",)),
 )
 BASE = 3
+#: Rows looked at together.
+_ROWS = 1000
 
 
 def find(text: str) -> list[tuple[str, int, int, int, int]]:
@@ -74,11 +76,17 @@ def _scan(docs: DataFrame, whole: bool = False) -> DataFrame:
     """Spans of every row under a row number of its own; ``whole`` brings the row along as ``row``."""
     span = pa.struct([("kind", pa.string()), *((n, pa.int64()) for n in ("start", "end", "value_start", "value_end", "value")), ("placeholder", pa.bool_())])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                yield batch.slice(at, _ROWS)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
             spans, counts, digests, lists = [], [], [], []
-            for text in batch.column(3).to_pylist():
-                text = text or ""
+            texts = batch.column(3).field(place) if whole else batch.column(3)
+            for text in texts:
+                text = text.as_py() or ""
                 own = find(text)
                 spans.append([
                     {"kind": k, "start": s, "end": e, "value_start": a, "value_end": b,
@@ -93,11 +101,13 @@ def _scan(docs: DataFrame, whole: bool = False) -> DataFrame:
                 lists.append(",".join(f"{k}:{s}:{e}" for k, s, e, *_ in own))
             kinds = [pa.array([c[i] for c in counts], pa.int64()) for i in range(BASE)]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), *kinds, pa.array(digests, pa.string()), pa.array(lists, pa.string()), pa.array(spans, pa.list_(span)), *([batch.column(4)] * whole)],
+                [*(batch.column(i) for i in range(3)), *kinds, pa.array(digests, pa.string()), pa.array(lists, pa.string()), pa.array(spans, pa.list_(span)), *batch.columns[3 : 3 + whole]],
                 ["doc_id", "t", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "found", *["row"] * whole],
             )
+        pa.default_memory_pool().release_unused()
 
-    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("source").cast("string").alias("owner"), "text", *([F.struct("*").alias("row")] * whole))
+    place = docs.columns.index("text")
+    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("source").cast("string").alias("owner"), F.struct("*").alias("row") if whole else F.col("text"))
     schema = f"doc_id bigint, t bigint, owner string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, found array<struct<{_SPAN.replace(' ', ':').replace(',:', ', ')}>>" + (f", row {read.schema['row'].dataType.simpleString()}" if whole else "")
     return read.mapInArrow(rows, schema).withColumn("rid", F.monotonically_increasing_id())
 
@@ -129,7 +139,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """
     scanned = stored(_scan(docs), "secret-spans")
     count = lambda name, test: F.coalesce(F.size(F.filter("judged", test)), F.lit(0)).cast("bigint").alias(name)
-    counts = [count(f"n_{v}", lambda s, v=v: s["verdict"] == v) for v in ("live", "shared", "example")] + [count("n_placeholder", lambda s: s["placeholder"])]
+    is_ = lambda v: lambda s: s["verdict"] == v
+    counts = [count(f"n_{v}", is_(v)) for v in ("live", "shared", "example")] + [count("n_placeholder", lambda s: s["placeholder"])]
     met = scanned.drop("found").join(_judged(scanned), "rid", "left").withColumn("judged", F.coalesce("judged", F.expr("filter(array(named_struct('at', 0, 'kind', '', 'start', 0L, 'end', 0L, 'value_start', 0L, 'value_end', 0L, 'placeholder', false, 'verdict', '')), x -> false)")))
     return met.select(
         "doc_id", "t", "n_assign", "n_access", "n_hex", "base_sha256", "spans",

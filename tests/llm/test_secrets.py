@@ -82,7 +82,7 @@ def test_long_passwords_and_long_texts():
     text = "https://" + "u" * 500 + ":" + "p" * 1000 + "@host/"
     assert [(k, text[a:b]) for k, _, _, a, b in find(text)] == [("login", "p" * 1000)]
     assert [k for k, *_ in find("-----BEGIN PRIVATE KEY-----\n" * 3000 + "x" * 100_000)] == ["pem"]
-    assert find("a" * 200_000 + "://") == []
+    assert find("z" * 200_000 + "://") == []
 
 
 def test_rows_and_columns_stay(spark):
