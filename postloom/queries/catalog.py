@@ -1269,7 +1269,7 @@ def _trained(spark, d):
     return embedder, model, split.where(F.col("split") == "test")
 
 
-@query("embed_text")
+@query("embed_text", r"SELECT doc_id, CAST(256 AS INT) AS dims, CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents")
 def _embed_text(spark, d):
     rows = embed.as_array(embed.embed_text(views.documents(spark, d).select("doc_id", "text"), "text", features=256), out="v")
     return rows.select("doc_id", F.size("v").alias("dims"), F.round(vectors.l2_norm(F.col("v")), 6).alias("norm"))
@@ -1299,13 +1299,22 @@ def _class_columns(spark, d):
     return rows.withColumns(cols).drop("p")
 
 
-@query("save_model")
+@query(
+    "save_model",
+    with_views(
+        """SELECT doc_id, label, true AS same FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat(doc_id, ':10')), doc_id)
+             <= round(0.2 * count(*) OVER (PARTITION BY label)) AS test FROM labels3) WHERE test""",
+        "labels3",
+    ),
+)
 def _save_model(spark, d):
     embedder, model, held_out = _trained(spark, d)
     path = scratch_path(spark, "model")
     files.save_model(model, path)
-    scored = classify.score_paragraphs(embed.embed_text(held_out, "text", model=embedder), files.load_model(path))
-    return scored.select("doc_id", "label", "pred")
+    rows = embed.embed_text(held_out, "text", model=embedder)
+    loaded = classify.score_paragraphs(rows, files.load_model(path)).select("doc_id", "label", F.col("pred").alias("_again"))
+    made = classify.score_paragraphs(rows, model).select("doc_id", "pred")
+    return loaded.join(made, "doc_id").select("doc_id", "label", F.col("_again").eqNullSafe(F.col("pred")).alias("same"))
 
 
 @query("reduce_dims")
