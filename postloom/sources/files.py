@@ -2,58 +2,58 @@
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import join_list
 from ..functions.text import slugify
 from ..schema import CLASS_ANNOTATION, PARAGRAPH_COLUMNS, POST_COLUMNS, RUN_REPORT, STAT_COLUMNS
+from ..session import settle
 
 # Cell contents that count as missing.
 NULL_TOKENS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "#N/A", "<NA>")
 
-#: Bits of a row key that count the rows of a file; the 39 above them come from its path.
-_ROW_BITS = 24
-
 # --- reading run files -----------------------------------------------------------
 
+# Fixed value: one cell of a header line, quoted or bare, after the line's start or a comma.
+_HEADER_CELL = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
+
+
+def _header_cells(line: Column) -> Column:
+    """The cells of a header line, quotes undone and the byte-order mark off."""
+    cells = F.regexp_extract_all(F.regexp_replace(line, "^﻿", ""), F.lit(_HEADER_CELL), F.lit(1))
+    inner = lambda c: F.regexp_replace(F.substr(c, F.lit(2), F.length(c) - 2), '""', '"')
+    return F.transform(cells, lambda c: F.when(c.rlike('(?s)^".*"$'), inner(c)).otherwise(c))
+
 
 def list_run_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """(file, columns, has_rows): the header cells of every matching file.
+    """(file, columns, has_rows): the header cells of every matching file, found by a Spark job.
 
-    Only the beginning of each file is opened, up to its first row; unreadable
-    files get null. has_rows says whether anything but blanks follows the header.
+    file is the path as ``_metadata.file_path`` states it. Lines are numbered within
+    the scan; the first number of each file and its lines with text are counted on
+    the map side, and only the lines that bear a first number meet them. No file is
+    opened by the driver. Empty and unreadable files have null columns; has_rows says
+    whether anything but blanks follows the header. No match gives no rows.
     """
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    statuses = fs.globStatus(path) or []
-    files = sorted(s.getPath().toString() for s in statuses if s.isFile())
-
-    def header(name: str) -> tuple[str, list[str] | None, bool]:
-        try:
-            stream = fs.open(jvm.org.apache.hadoop.fs.Path(name))
-            try:
-                reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-                line = after = reader.readLine()
-                while after is not None and (after is line or not after.strip()):
-                    after = reader.readLine()
-            finally:
-                stream.close()
-        except Exception:
-            return name, None, False
-        return name, next(csv.reader([(line or "").lstrip("﻿")]), []), after is not None
-
-    with ThreadPoolExecutor(16) as pool:
-        rows = list(pool.map(header, files))
-    return spark.createDataFrame(rows, "file string, columns array<string>, has_rows boolean")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    if not list(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []):
+        return spark.createDataFrame([], "file string, columns array<string>, has_rows boolean")
+    names = spark.read.format("binaryFile").load(pattern).select(F.col("_metadata.file_path").alias("file"))
+    lines = (
+        spark.read.option("ignoreCorruptFiles", True).text(pattern)
+        .select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("begin"), "value")
+    )
+    filled = F.count_if(F.trim("value") != "")
+    first = F.min(F.when(F.col("begin") == 0, F.col("at")))
+    counted = lines.groupBy("file").agg(first.alias("at"), filled.alias("filled"))
+    headers = lines.select("at", "value").join(counted, "at").select(
+        "file", _header_cells(F.col("value")).alias("columns"), (F.col("filled") > (F.trim("value") != "").cast("int")).alias("has_rows")
+    )
+    return names.join(headers, "file", "left").select("file", "columns", F.coalesce("has_rows", F.lit(False)).alias("has_rows"))
 
 
 def validate_columns(files: DataFrame, expected: Sequence[str] = POST_COLUMNS) -> DataFrame:
@@ -79,40 +79,39 @@ def read_runs(
 ) -> DataFrame:
     """Posts of all usable run files, with ``source_file`` and ``row_key``.
 
-    Files that miss a column are left out (``validate_columns`` tells which).
-    Files are read together per header layout, whatever the column order.
-    row_key names a row by the file's full path and its place in the file: it is
-    the same on every read, unlike in other files, and grows down the file.
+    Files that miss a column are left out (``validate_columns`` tells which), as
+    are files with a header only. All files are read in one scan of bare cells; each
+    file's header says at which place a column stands, so layouts may differ and need no
+    groups on the driver, which learns the number of cells of the widest header alone.
+    row_key is text of fixed length: the digest of the file's full path, 128 bits,
+    and the row's place in the file. It is the same on every read, unlike in any
+    other file, and grows down the file. The texts are not shuffled by it: first
+    numbers are minima that combine on the map side and meet the rows by path.
     """
-    listing = list_run_files(spark, pattern).collect()
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for row in listing:
-        if row.columns and set(expected) <= set(row.columns):
-            layouts.setdefault(tuple(row.columns), []).append(row.file)
-    out_schema = "source_file string, row_key bigint, " + ", ".join(f"`{c}` string" for c in expected)
-    if not layouts:
+    listing = settle(list_run_files(spark, pattern).where("has_rows"))
+    usable = listing.join(validate_columns(listing, expected).where("usable").select("file"), "file", "left_semi")
+    width = usable.agg(F.max(F.size("columns"))).head()[0]
+    out_schema = "source_file string, row_key string, " + ", ".join(f"`{c}` string" for c in expected)
+    if width is None:
         return spark.createDataFrame([], out_schema)
 
-    def value(c: str) -> Column:
-        return F.when(~F.col(c).isin(list(null_tokens)), F.col(c)).alias(c)
-
-    def read(layout: tuple[str, ...], files: list[str]) -> DataFrame:
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in layout])
-        rows = spark.read.csv(
-            files, schema=schema, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8"
-        )
-        return rows.select(
-            F.col("_metadata.file_name").alias("source_file"),
-            F.col("_metadata.file_path").alias("_path"),
-            F.monotonically_increasing_id().alias("_at"),
-            *[value(c) for c in expected],
-        )
-
-    rows = reduce(lambda a, b: a.unionByName(b), [read(k, v) for k, v in layouts.items()])
-    # A file with multi-line cells is one split, so its rows are numbered without gaps in their order.
-    place = F.col("_at") - F.min("_at").over(Window.partitionBy("_path"))
-    key = F.shiftleft(F.shiftrightunsigned(F.xxhash64("_path"), 25), _ROW_BITS).bitwiseOR(place)
-    return rows.withColumn("row_key", key).select("source_file", "row_key", *expected)
+    cells = [f"c{i}" for i in range(width)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
+    rows = spark.read.csv(pattern, schema=schema, header=False, multiLine=True, quote='"', escape='"', encoding="UTF-8").select(
+        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_name"), F.monotonically_increasing_id().alias("_at"), *cells
+    )
+    # A file with multi-line cells is one split, so its rows are numbered without gaps in their order; the header comes first.
+    starts = rows.groupBy(F.col("_path").alias("file")).agg(F.min("_at").alias("_start"))
+    layouts = usable.select("file", *[F.array_position("columns", c).cast("int").alias(f"_at_{i}") for i, c in enumerate(expected)])
+    placed = rows.join(starts.join(layouts, "file"), F.col("_path") == F.col("file")).where(F.col("_at") > F.col("_start"))
+
+    def value(i: int) -> Column:
+        cell = F.element_at(F.array(*cells), F.col(f"_at_{i}"))
+        return F.when(~cell.isin(list(null_tokens)), cell).alias(expected[i])
+
+    place = F.lpad((F.col("_at") - F.col("_start")).cast("string"), 12, "0")
+    key = F.concat_ws("-", F.md5("_path"), place)
+    return placed.select(F.col("_name").alias("source_file"), key.alias("row_key"), *[value(i) for i in range(len(expected))])
 
 
 # --- writing posts ---------------------------------------------------------------
