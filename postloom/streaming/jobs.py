@@ -1,9 +1,9 @@
 """Structured Streaming jobs over folders that keep receiving files.
 
-Every micro-batch writes only what it adds, into a folder named after its
-batch number. Repeating a batch after a failure replaces that folder, so a
-result never counts anything twice, and no batch rewrites what earlier ones
-left behind.
+Every micro-batch writes what it adds into a part named after its batch
+number. Repeating a batch after a failure replaces that part, so a result never
+counts anything twice. Parts are folded in levels (``parts``): a row is rewritten
+once a level, and a read sees a few parts, not all batches.
 """
 
 from __future__ import annotations
@@ -18,33 +18,40 @@ from ..operators.merge import clean_posts, first_seen_parts, join_seen_parts, lo
 from ..plans.clean import Scorer, clean_corpus
 from ..schema import POST_COLUMNS, STAT_COLUMNS
 from ..session import settle
+from . import parts
 
 _TEXTS = ("Title", "Description", "Qualifications")
 
 
-def _earlier(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
-    """What batches before ``batch`` wrote, or None at the beginning."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    return spark.read.parquet(path).where(F.col("batch") < batch)
+# --- merge -----------------------------------------------------------------------
 
 
-# --- merge -----------------------------------------------------------------------
+def _fold_picks(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("Link").agg(*[F.min(c).alias(c) for c in _TEXTS])
+
+
+def _fold_terms(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("Link", "part").agg(F.min("seen").alias("seen"))
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").parquet(path)
 
 
 def stream_merge(src: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep one mergeable record per link and batch; ``read_merged`` folds them.
+    """Keep one mergeable record per link and part; ``read_merged`` folds them.
 
     The picks are minima and the terms carry the place of first sight, so the
-    fold of the parts equals a merge of all rows at once.
+    fold of the parts equals a merge of all rows at once, whatever the levels.
     """
 
     def fold(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        read = lambda paths: spark.read.parquet(*paths)
         cleaned = settle(clean_posts(rows))
         picks = cleaned.groupBy("Link").agg(*[longest(F.col(c)).alias(c) for c in _TEXTS])
-        picks.write.mode("overwrite").parquet(f"{table}/picks/batch={batch}")
-        first_seen_parts(cleaned, "Link", "SearchTerm").write.mode("overwrite").parquet(f"{table}/terms/batch={batch}")
+        parts.add(spark, f"{table}/picks", batch, picks, read, _fold_picks, _write)
+        parts.add(spark, f"{table}/terms", batch, first_seen_parts(cleaned, "Link", "SearchTerm"), read, _fold_terms, _write)
 
     return (
         src.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -52,9 +59,9 @@ def stream_merge(src: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
 
 
 def read_merged(spark: SparkSession, table: str) -> DataFrame:
-    """The merged posts as of the batches written so far."""
-    picks = spark.read.parquet(f"{table}/picks").groupBy("Link").agg(*[F.min(c).alias(c) for c in _TEXTS])
-    seen = spark.read.parquet(f"{table}/terms").groupBy("Link", "part").agg(F.min("seen").alias("seen"))
+    """The merged posts as of the batches written so far: a link is read once a part, at most FAN - 1 of a level."""
+    picks = _fold_picks(spark.read.parquet(*parts.paths(spark, f"{table}/picks")))
+    seen = _fold_terms(spark.read.parquet(*parts.paths(spark, f"{table}/terms")))
     picks = picks.select("Link", *[F.col(f"{c}.value").alias(c) for c in _TEXTS])
     merged = picks.join(join_seen_parts(seen, "Link", "SearchTerm"), "Link", "left")
     return merged.fillna("", ["SearchTerm"]).select(*POST_COLUMNS)
@@ -63,29 +70,48 @@ def read_merged(spark: SparkSession, table: str) -> DataFrame:
 # --- clean -----------------------------------------------------------------------
 
 
+def seen_digests(spark: SparkSession, table: str, until: int, prefixes: list[str]) -> DataFrame:
+    """Digests of batches before ``until``, of the given prefixes; folders of other prefixes are not opened."""
+    return _read_digests(spark, parts.paths(spark, table, until)).where(F.col("prefix").isin(prefixes))
+
+
+def _read_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    shape = "digest string, prefix string"
+    if not paths:
+        return spark.createDataFrame([], shape)
+    root = paths[0].rsplit("/level=", 1)[0]
+    return spark.read.schema(shape).option("basePath", root).parquet(*paths).select("digest", "prefix")
+
+
+def _write_digests(rows: DataFrame, path: str) -> None:
+    rows.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(path)
+
+
 def stream_clean(
-    src: DataFrame, out: str, checkpoint: str, scorer: Scorer, gazetteer: DataFrame | None = None, key: str = "row_key", **options
+    src: DataFrame, out: str, checkpoint: str, scorer: Scorer, gazetteer: DataFrame | None = None, key: str = "row_key", digits: int = 2, **options
 ) -> StreamingQuery:
     """Clean posts that no earlier batch has seen.
 
-    Seen posts are known by a digest of their title and text. A batch first
-    finds which of its own digests exist already, so the long list of earlier
-    digests is scanned for a short one and is not itself the unique side.
+    Seen posts are known by a digest of their title and text. Digests lie in folders
+    by their first hexadecimal ``digits``, 16 ** digits at most, and a batch reads the
+    folders that its own digests name: choose more digits for small batches over a long
+    history. Only digests that the batch holds come back from them, so the long side is
+    never the unique one.
     """
 
     def step(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        digest = F.sha2(F.concat_ws("\x00", "Title", "Description"), 256).alias("digest")
+        digest = F.sha2(F.concat_ws("\x00", "Title", "Description"), 256)
         unique = dedupe_posts(drop_missing(rows.select(key, "Title", "Description")), key=key)
-        fresh = unique.withColumn("digest", digest)
-        known = _earlier(spark, f"{out}/seen", batch)
-        if known is not None:
-            hits = known.select("digest").join(fresh.select("digest"), "digest", "left_semi")
-            fresh = fresh.join(hits, "digest", "left_anti")
+        fresh = unique.withColumn("digest", digest).withColumn("prefix", F.concat(F.lit("p"), F.substring("digest", 1, digits)))
         fresh = settle(fresh)
-        cleaned = clean_corpus(fresh.drop("digest"), scorer, gazetteer, key=key, **options)
+        touched = sorted(r.prefix for r in fresh.select("prefix").distinct().collect())  # at most 16 ** digits
+        known = seen_digests(spark, f"{out}/seen", batch, touched).join(fresh.select("digest"), "digest", "left_semi")
+        fresh = settle(fresh.join(known.select("digest"), "digest", "left_anti"))
+        cleaned = clean_corpus(fresh.drop("digest", "prefix"), scorer, gazetteer, key=key, **options)
         cleaned.write.mode("overwrite").parquet(f"{out}/paragraphs/batch={batch}")
-        fresh.select("digest").write.mode("overwrite").parquet(f"{out}/seen/batch={batch}")
+        read = lambda paths: _read_digests(spark, paths)
+        parts.add(spark, f"{out}/seen", batch, fresh.select("digest", "prefix"), read, lambda d: d, _write_digests)
 
     return (
         src.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
