@@ -151,17 +151,19 @@ SPDX = {
     "unlicense": ("Unlicense",),
     "zlib": ("Zlib",),
 }
-# Words of a paragraph, the end of a sentence, the British noun, and the tag of an identifier.
-_TERM = r"[^\p{L}\p{N}.]+"
+# What stands between the words of a paragraph, the end of a sentence, the British spelling, and the tag of an identifier.
+_BETWEEN = r"(?:[^\p{L}\p{N}.]|\.(?![\p{L}\p{N}])|\.(?<![\p{L}\p{N}]\.))+"
 _SENTENCE = r"(?<=[.!?])\s+(?=[\"'(]?\p{Lu})"
-_NOUN = r"\blicence(s?)\b"
-_TAG = r"spdx-license-identifier\s*:"
+_BRITISH = ("licence", "license")
+_TAG = ("spdx-license-identifier:", "spdx ")
 
 
 def terms(text: Column) -> Column:
-    """Lower-case words of letters, digits and inner dots; licence is license, an identifier's tag one word."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), _NOUN, "license$1"), _TAG, "spdx ")
-    return F.filter(F.transform(F.split(plain, _TERM), lambda w: F.regexp_replace(w, r"^\.+|\.+$", "")), lambda w: w != "")
+    """Lower-case words of letters, digits and dots between two of them; licence is license, an identifier's tag one word."""
+    plain = F.lower(text)
+    for old, new in (_BRITISH, _TAG):
+        plain = F.replace(plain, F.lit(old), F.lit(new))
+    return F.filter(F.split(plain, _BETWEEN), lambda w: w != "")
 
 
 def pieces(line: Column) -> Column:
