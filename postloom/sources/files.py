@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.arrays import join_list
 from ..functions.text import slugify
 from ..schema import CLASS_ANNOTATION, PARAGRAPH_COLUMNS, POST_COLUMNS, RUN_REPORT, STAT_COLUMNS
-from ..session import settle
+from ..session import scratch_path
 
 # Cell contents that count as missing.
 NULL_TOKENS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "#N/A", "<NA>")
@@ -30,13 +30,21 @@ def _header_cells(line: Column) -> Column:
     return F.transform(cells, lambda c: F.when(c.rlike('(?s)^".*"$'), inner(c)).otherwise(c))
 
 
+def _noted(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: a row a file, with the size that Spark then weighs in joins."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def list_run_files(spark: SparkSession, pattern: str) -> DataFrame:
     """(file, columns, has_rows): the header cells of every matching file, found by a Spark job.
 
     file is the path as ``_metadata.file_path`` states it. Lines are numbered within
     the scan; the first number of each file and its lines with text are counted on
-    the map side, and only the lines that bear a first number meet them. No file is
-    opened by the driver. Empty and unreadable files have null columns; has_rows says
+    the map side and written, so that Spark knows their size and broadcasts them to the
+    lines while they are small; more are joined by number, which no file makes hot. No file
+    is opened by the driver. Empty and unreadable files have null columns; has_rows says
     whether anything but blanks follows the header. No match gives no rows.
     """
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
@@ -49,7 +57,7 @@ def list_run_files(spark: SparkSession, pattern: str) -> DataFrame:
     )
     filled = F.count_if(F.trim("value") != "")
     first = F.min(F.when(F.col("begin") == 0, F.col("at")))
-    counted = lines.groupBy("file").agg(first.alias("at"), filled.alias("filled"))
+    counted = _noted(lines.groupBy("file").agg(first.alias("at"), filled.alias("filled")), "run-lines")
     headers = lines.select("at", "value").join(counted, "at").select(
         "file", _header_cells(F.col("value")).alias("columns"), (F.col("filled") > (F.trim("value") != "").cast("int")).alias("has_rows")
     )
@@ -85,10 +93,11 @@ def read_runs(
     groups on the driver, which learns the number of cells of the widest header alone.
     row_key is text of fixed length: the digest of the file's full path, 128 bits,
     and the row's place in the file. It is the same on every read, unlike in any
-    other file, and grows down the file. The texts are not shuffled by it: first
-    numbers are minima that combine on the map side and meet the rows by path.
+    other file, and grows down the file. First numbers are minima that combine on the
+    map side; they are written with the layouts, a row a file, and meet the rows by path,
+    without a shuffle of texts while Spark finds that table small enough to broadcast.
     """
-    listing = settle(list_run_files(spark, pattern).where("has_rows"))
+    listing = _noted(list_run_files(spark, pattern).where("has_rows"), "run-files")
     usable = listing.join(validate_columns(listing, expected).where("usable").select("file"), "file", "left_semi")
     width = usable.agg(F.max(F.size("columns"))).head()[0]
     out_schema = "source_file string, row_key string, " + ", ".join(f"`{c}` string" for c in expected)
@@ -103,7 +112,8 @@ def read_runs(
     # A file with multi-line cells is one split, so its rows are numbered without gaps in their order; the header comes first.
     starts = rows.groupBy(F.col("_path").alias("file")).agg(F.min("_at").alias("_start"))
     layouts = usable.select("file", *[F.array_position("columns", c).cast("int").alias(f"_at_{i}") for i, c in enumerate(expected)])
-    placed = rows.join(starts.join(layouts, "file"), F.col("_path") == F.col("file")).where(F.col("_at") > F.col("_start"))
+    known = _noted(starts.join(layouts, "file"), "run-layouts")
+    placed = rows.join(known, F.col("_path") == F.col("file")).where(F.col("_at") > F.col("_start"))
 
     def value(i: int) -> Column:
         cell = F.element_at(F.array(*cells), F.col(f"_at_{i}"))

@@ -103,6 +103,24 @@ def test_headers_are_read_by_a_job(spark, tmp_path):
     assert files.read_runs(spark, f"{tmp_path}/none*.csv").count() == files.list_run_files(spark, f"{tmp_path}/none*.csv").count() == 0
 
 
+def test_texts_of_run_files_are_not_shuffled(spark, tmp_path):
+    """Inputs above the limit of a broadcast: the table of files is small as written, and only it moves."""
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("Link,Title\n" + f"L{i},{'t' * 100}\n" * 4_000)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "100000")
+    try:
+        rows = files.read_runs(spark, f"{tmp_path}/*.csv", ("Title", "Link"))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        headers = files.list_run_files(spark, f"{tmp_path}/*.csv")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in headers
+        assert rows.count() == 12_000 == rows.select("row_key").distinct().count()
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_flat_posts_round_trip(spark):
     df = spark.createDataFrame(
         [("s", 't "q"', " padded\n\nx,", ["a", "", None, "b"], "L"), ("s", None, "d", None, "M")],
