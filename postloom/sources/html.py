@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +23,11 @@ def _path(selector: Selector) -> list[Step]:
     return selector if isinstance(selector, list) else [selector]
 
 
+def _by_page(read: Callable, kind: str) -> Callable:
+    """A column function of one page. Pages reach a worker some hundred at a time: column batches would hold 10,000, however long."""
+    return F.udf(read, kind, useArrow=False)
+
+
 def tidy(c: Column) -> Column:
     """Runs of blanks to one, runs of line breaks to one."""
     c = F.regexp_replace(c, "[ \\t]+", " ")
@@ -40,23 +44,19 @@ def page_fields(html: Column, title: Selector, body: Selector, items: Selector,
     paths = [_path(s) for s in (title, body, items)]
     unseen = [_path(s) for s in hidden]
 
-    def read(pages: pd.Series) -> pd.DataFrame:
-        rows = []
-        for page in pages:
-            if page is None:
-                rows.append((None, None, None))
-                continue
-            found = elements(page)
-            heads, bodies, listed = (select(found, p) for p in paths)
-            cut = [e for p in unseen for e in select(found, p)] if bodies else []
-            rows.append((
-                visible(page, heads[0], found) if heads else "",
-                visible(page, bodies[0], found, cut) if bodies else "",
-                [visible(page, e, found) for e in listed],
-            ))
-        return pd.DataFrame(rows, columns=["title", "body", "items"])
-
-    return F.pandas_udf(read, "title string, body string, items array<string>")(html)
+    def read(page: str | None) -> tuple:
+        if page is None:
+            return None, None, None
+        found = elements(page)
+        heads, bodies, listed = (select(found, p) for p in paths)
+        cut = [e for p in unseen for e in select(found, p)] if bodies else []
+        return (
+            visible(page, heads[0], found) if heads else "",
+            visible(page, bodies[0], found, cut) if bodies else "",
+            [visible(page, e, found) for e in listed],
+        )
+
+    return _by_page(read, "title string, body string, items array<string>")(html)
 
 
 def extract_pages(pages: DataFrame, title: Selector = "h1", body: Selector = "article", items: Selector = "li") -> DataFrame:
@@ -85,15 +85,14 @@ def link_addresses(html: Column, within: Selector | None = None, attributes: Seq
     """array<string>: the first of ``attributes`` that each link element has, inside all elements that fit ``within``."""
     path = [*(_path(within) if within is not None else []), "a"]
 
-    def read(pages: pd.Series) -> pd.Series:
-        def one(page: str) -> list[str]:
-            links = select(elements(page), path)
-            values = (next((v for a in attributes if (v := e.value(a))), None) for e in links)
-            return [v for v in values if v is not None]
-
-        return pages.map(one, na_action="ignore")
+    def read(page: str | None) -> list[str] | None:
+        if page is None:
+            return None
+        links = select(elements(page), path)
+        values = (next((v for a in attributes if (v := e.value(a))), None) for e in links)
+        return [v for v in values if v is not None]
 
-    return F.pandas_udf(read, "array<string>")(html)
+    return _by_page(read, "array<string>")(html)
 
 
 def extract_links(

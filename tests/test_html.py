@@ -100,3 +100,13 @@ def test_long_page_is_read_in_one_pass(spark):
     page = "<div>" * 3000 + "x" + "</div>" * 3000 + "<b>" * 2000 + "<p>y" * 20_000
     found = elements(page)
     assert len(found) == 3000 + 2000 + 20_000 and len(select(found, ["div", "div", "div"])) == 2998
+
+
+def test_pages_reach_a_worker_some_at_a_time(spark, capsys):
+    rows = spark.createDataFrame([(1, "u", "<h1>a</h1><article>b</article>"), (2, "u", None)], "page_id bigint, url string, html string")
+    for out in (extract_pages(rows), extract_links(rows, "https://x.org/")):
+        out.explain()
+        plan = capsys.readouterr().out
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    got = {r.page_id: (r.Title, r.Description, r.Qualifications) for r in extract_pages(rows).collect()}
+    assert got == {1: ("a", "b", []), 2: (None, None, [])}
