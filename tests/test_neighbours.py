@@ -1,7 +1,10 @@
 import numpy as np
 import pytest
 
-from postloom.operators.neighbours import boxes_within, connected, cut_space, density_cluster, home_of, knn_graph
+from postloom.operators import neighbours
+from postloom.operators.neighbours import (
+    _nearest, _pair_gaps, boxes_within, connected, cut_space, density_cluster, distance_blocks, home_of, knn_graph, within_blocks,
+)
 
 
 def points(spark, x):
@@ -79,3 +82,28 @@ def test_connected_long_chain_and_star(spark):
     got = {r.node: r.root for r in connected(edges).collect()}
     assert all(got[i] == 0 for i in range(201)) and all(got[i] == 1000 for i in range(1000, 1200))
     assert got[5001] == 5000 and len(got) == 201 + 200 + 2
+
+
+@pytest.mark.parametrize("scale,shift", [(1.0, 0.0), (1e-6, 0.0), (1.0, 1e7), (1e160, 0.0)])
+def test_products_decide_as_sums_do(scale, shift):
+    rnd = np.random.default_rng(5)
+    a, b = (np.round(rnd.normal(0, 1, (n, 6)), 1) * scale + shift for n in (300, 170))
+    gaps = np.concatenate([block for _, block in distance_blocks(a, b)])
+    i, j = (x.ravel() for x in np.indices(gaps.shape))
+    assert (_pair_gaps(a, b, i, j) == gaps.ravel()).all()
+    for epsilon in (gaps[3, 5], gaps.min(), gaps.max(), 2.5 * scale):
+        assert (np.concatenate([block for _, block in within_blocks(a, b, epsilon)]) == (gaps <= epsilon)).all()
+    ids = [[2 * x, 2 * x + 1] for x in range(len(b))]
+    reach = np.where(np.arange(300) % 3 == 0, np.inf, np.median(gaps))
+    for row, (found, dist) in enumerate(_nearest(a, reach, b, ids, 7)):
+        near = sorted((g, x) for g, pair in zip(gaps[row], ids, strict=True) for x in pair if g <= reach[row])[:8]
+        assert list(zip(dist, found, strict=True)) == near
+
+
+def test_leaves_and_what_a_task_sends_stay_bounded(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(0, 1, (400, 12))
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 40)
+    leaves, batch = neighbours._plan(points(spark, x).withColumnRenamed("id", "rep"), 4)
+    assert leaves.n == 16 and batch >= 100
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 8)
+    assert neighbours._plan(points(spark, x).withColumnRenamed("id", "rep"), 4)[0].n == 50
