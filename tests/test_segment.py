@@ -1,5 +1,7 @@
 import random
 import re
+import time
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -150,3 +152,36 @@ def test_tagger_slot(spark):
         )
 
     assert strip_entities(df, None, tagger=capitals).head().Description == "likes Java daily"
+
+
+def test_align_spans_against_a_walk(spark):
+    text = "Años, 3 x_y—z!  été\n(ab)\x1f9.5 " * 30
+    spans = [(a, a + n, str(n)) for a in range(-2, len(text) + 3) for n in (1, 2, 5, 40)]
+    rows = [(1, text, [*spans, None, (0, None, "n")]), (2, None, spans), (3, text, None), (4, "", spans), (5, "a", [(0, 1, "x"), (0, 1, "x")])]
+    df = spark.createDataFrame(rows, "des_id bigint, text string, spans array<struct<start:int,end:int,label:string>>")
+    got = sorted(map(tuple, align_spans(df).collect()))
+    word = lambda c: c == "_" or unicodedata.category(c)[0] in "LMN"
+    blank = lambda c: c.isspace()
+    edge = [False] * (len(text) + 1)
+    begun = [0]
+    for i, c in enumerate(text):
+        edge[i] = not (i and word(text[i - 1]) and word(c))
+        begun.append(begun[-1] + (not blank(c) and (edge[i] or not word(c))))
+    edge[-1] = True
+    want = [(5, 0, 1, "x")] * 2
+    for a, b, label in spans:
+        if 0 <= a < b <= len(text) and edge[a] and edge[b] and not blank(text[a]) and not blank(text[b - 1]):
+            want.append((1, begun[a], begun[b], label))
+    assert got == sorted(want)
+
+
+def test_align_spans_of_a_long_text_in_time(spark):
+    n = 400_000
+    text = "word, " * (n // 6)
+    df = spark.createDataFrame([(1, text)], "des_id bigint, text string").withColumn(
+        "spans", F.expr(f"transform(sequence(0, {n - 100}, 60), x -> struct(cast(x as int) as start, cast(x + 4 as int) as end, 'w' as label))")
+    )
+    began = time.monotonic()
+    got = align_spans(df).agg(F.count("*"), F.max("end")).head()
+    assert tuple(got) == ((n - 100) // 60 + 1, 20 * ((n - 100) // 60) + 1)
+    assert time.monotonic() - began < 40  # 63 s and more when places are counted from the front for each span
