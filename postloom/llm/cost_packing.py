@@ -39,6 +39,8 @@ CAPACITY = 1024
 LINEAR = 1024
 #: Ids that a worker gathers before it hands rows on.
 _CHUNK_IDS = 1 << 20
+#: Parts that a task places at a time: their ids take four bytes here, and lie in lists, cut and in a column.
+_PLACED = 1 << 10
 
 #: Documents from a rank on: (length, first rank, times, sequence, offset, tokens taken, first rank of the rests).
 Step = tuple[int, int, int, int, int, int, int]
@@ -143,7 +145,7 @@ def pack_by_cost(docs: DataFrame, vocab: str, capacity: int = CAPACITY, linear:
     starts = parts.groupBy("length", "block").agg(F.count("*").alias("n")).select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, _PLACED) for b in batches for at in range(0, b.num_rows, _PLACED)):
             size = batch.num_rows
             row, start = np.arange(size), np.zeros(size, dtype=np.int64)
             length, rank = batch.column(2).to_numpy().astype(np.int64), batch.column(4).to_numpy()

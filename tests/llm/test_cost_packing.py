@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from postloom.llm import cost_packing
 from postloom.llm.byte_tokens import ByteTokenizer
 from postloom.llm.cost_packing import cost, pack_by_cost, plan, rooms
 
@@ -153,3 +154,11 @@ def test_pieces_hold_every_id_once(spark):
                 at += length
             assert at == len(texts[0])
     assert pack_by_cost(df.limit(0), VOCAB).count() == 0
+
+
+def test_parts_are_placed_some_at_a_time(spark, monkeypatch):
+    rows = [(i, "ab " * (7 * i % 50)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    whole = pack_by_cost(docs, VOCAB, 32, with_ids=True).collect()
+    monkeypatch.setattr(cost_packing, "_PLACED", 3)
+    assert sorted(map(tuple, pack_by_cost(docs, VOCAB, 32, with_ids=True).collect())) == sorted(map(tuple, whole))
