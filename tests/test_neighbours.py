@@ -3,7 +3,7 @@ import pytest
 
 from postloom.operators import neighbours
 from postloom.operators.neighbours import (
-    _nearest, _pair_gaps, boxes_within, connected, cut_space, density_cluster, distance_blocks, home_of, knn_graph, within_blocks,
+    _nearest, pair_gaps, boxes_within, connected, cut_space, density_cluster, distance_blocks, home_of, knn_graph, within_blocks,
 )
 
 
@@ -90,7 +90,7 @@ def test_products_decide_as_sums_do(scale, shift):
     a, b = (np.round(rnd.normal(0, 1, (n, 6)), 1) * scale + shift for n in (300, 170))
     gaps = np.concatenate([block for _, block in distance_blocks(a, b)])
     i, j = (x.ravel() for x in np.indices(gaps.shape))
-    assert (_pair_gaps(a, b, i, j) == gaps.ravel()).all()
+    assert (pair_gaps(a, b, i, j) == gaps.ravel()).all()
     for epsilon in (gaps[3, 5], gaps.min(), gaps.max(), 2.5 * scale):
         assert (np.concatenate([block for _, block in within_blocks(a, b, epsilon)]) == (gaps <= epsilon)).all()
     ids = [[2 * x, 2 * x + 1] for x in range(len(b))]
