@@ -1,9 +1,13 @@
 """Merges of topics beside merging pair after pair."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from postloom.operators.topics import gram_ids, ngrams, topic_hierarchy
+from postloom.operators.topics import class_tfidf, gram_id, gram_ids, ngrams, topic_hierarchy, topic_similarity, topic_terms
 from pyspark.sql import functions as F
 
 
@@ -39,3 +43,50 @@ def test_numbers_are_equal_where_texts_are(spark):
         for x, y in zip(r.x, r.y, strict=True):
             assert met.setdefault(x, y) == y
     assert len(set(met.values())) == len(met)
+
+
+def test_number_of_a_text(spark):
+    df = spark.createDataFrame([(["a", "b", "a", "c"],), (["a1"],), ([],)], "t array<string>")
+    for r in df.select(F.transform(ngrams(F.col("t"), 1, 3), gram_id).alias("x"), gram_ids(F.col("t"), 1, 3).alias("y")).collect():
+        assert r.x == r.y
+
+
+DOCS = [(1, 0, "red blue red"), (2, 0, "blue green"), (3, 1, "red red grey"), (4, 2, "green grey"), (4, 2, "green grey"), (5, None, "blue grey"), (6, 1, None), (7, -1, "")]
+
+
+def brute_weights(docs, low, high):
+    tf = Counter((t, " ".join(w[i : i + n])) for _, t, text in docs for w in [(text or "").split()] for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    topics = {t for _, t, _ in docs if t is not None}
+    df, f = Counter(g for _, g in tf), Counter()
+    tf = {k: v for k, v in tf.items() if low * len(topics) <= df[k[1]] <= high * len(topics)}
+    for (_, g), v in tf.items():
+        f[g] += v
+    size = Counter()
+    for (t, _), v in tf.items():
+        size[t] += v
+    average = math.floor(sum(size.values()) / len(size))
+    return {(t, g): (v, pytest.approx(v / size[t] * math.log(1 + average / f[g]))) for (t, g), v in tf.items() if t is not None}
+
+
+@pytest.mark.parametrize("ids", [False, True])
+def test_terms_are_shuffled_once(spark, ids):
+    docs = spark.createDataFrame(DOCS, "doc_id int, topic int, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    terms = topic_terms(docs, min_df=0.25, max_df=0.5, stop_words=[], ids=ids)
+    assert len(re.findall(r"hashpartitioning\([^)]*\bterm#", plan(terms))) == 1
+    weights = class_tfidf(terms)
+    assert "hashpartitioning" not in plan(weights) and "Generate" not in plan(weights)
+    rows = weights.collect()
+    assert weights.columns == ["topic", "term", "tf", "weight"]
+    want = brute_weights(DOCS, 0.25, 0.5)
+    if not ids:
+        assert {(r.topic, r.term): (r.tf, r.weight) for r in rows} == want
+    assert len(rows) == len(want)
+    assert sum(r.tf for r in rows) == sum(tf for tf, _ in want.values())
+
+
+def test_no_terms_have_no_weights(spark):
+    docs = spark.createDataFrame([], "doc_id int, topic int, text string")
+    weights = class_tfidf(topic_terms(docs))
+    assert weights.count() == 0
+    assert topic_similarity(weights).count() == 0
