@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm.mixing import mixed_rows
-from postloom.llm.near_dedup import near_duplicates
+from postloom.llm.near_dedup import near_groups
 from postloom.llm.packing import pack
 from postloom.llm.queries import VOCABULARY
 from postloom.llm.secrets import redact_secrets
@@ -42,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A group of null ids keeps one row as well. Null and blank texts are in no group; of
     rows alike in id and text one stays. No rows give no rows.
     """
-    own = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), F.col("group_key").alias("_group"))
+    own = near_groups(docs).where("kept").select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), F.col("group_key").alias("_group"))
     first = own.where("_group is not null").groupBy("_group").agg(F.min(F.struct("_doc", "_t")).alias("_one")).select("_one.*")
     kept = first.union(own.where("_group is null").select("_doc", "_t")).distinct()
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_x"))

@@ -369,6 +369,11 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """(doc_id, t, n_shingles, component_id, kept), one row per row of ``docs``: ``near_groups`` without its key."""
+    return near_groups(docs, threshold).drop("group_key")
+
+
+def near_groups(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(doc_id, t, n_shingles, component_id, group_key, kept), one row per row of ``docs``.
 
     docs: doc_id bigint, text string; other columns are not read. Documents are
