@@ -66,3 +66,15 @@ def test_pieces_cover_documents_without_gaps(spark):
         assert at <= 64
     assert len(by) <= -(-sum(x[3] for x in want) // 64) + 1
     assert pack(df.limit(0), VOCAB).count() == 0
+
+
+def test_a_word_known_from_before_keeps_its_ids(monkeypatch):
+    # Few chunks are kept, so words come back from the older generation and with other marks behind them.
+    from postloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CHUNKS_KEPT", 3)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    fast, library = WordTokenizer(path), Tokenizer.from_file(path)
+    for texts in (["Red, blue red."], ["red, gréen 12a,"], [""], ["blue; red? 12a, x1"], ["Red, blue red. gréen!"], []):
+        want = [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        assert fast.encode(texts) == want
