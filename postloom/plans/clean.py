@@ -14,6 +14,7 @@ from ..operators.entities import strip_entities
 from ..operators.filters import drop_missing, job_only, min_words
 from ..operators.joins import posts_with_clean_text
 from ..operators.segment import make_paragraphs
+from ..session import written
 
 # (des_id, par_id, text) -> the same rows with prob_job, prob_blurb_legal, prob_offer_detail
 Scorer = Callable[[DataFrame], DataFrame]
@@ -71,6 +72,9 @@ def clean_corpus(
     else:
         kept = min_words(join_paragraphs(jobs), min_word_count)
     if clean_sentences and (gazetteer is not None or tagger is not None):
+        if tagger is None:
+            # Names are looked up in the texts and then taken out of them: cut and scored once, read twice.
+            kept = written(kept, "kept-paragraphs")
         kept = strip_entities(kept, gazetteer, tagger=tagger)
     kept = kept.withColumn("Description", normalize_text(F.col("Description")))
     if maintain_paragraphs:
