@@ -38,6 +38,11 @@ def _write(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
+def _reader(rows: DataFrame) -> parts.Read:
+    """Reads parts of rows like these; their columns are known, so no file is opened to learn them."""
+    return lambda paths: rows.sparkSession.read.schema(rows.schema).parquet(*paths)
+
+
 def stream_merge(src: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Keep one mergeable record per link and part; ``read_merged`` folds them.
 
@@ -47,11 +52,11 @@ def stream_merge(src: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
 
     def fold(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        read = lambda paths: spark.read.parquet(*paths)
-        cleaned = settle(clean_posts(rows))
+        cleaned = clean_posts(rows)
         picks = cleaned.groupBy("Link").agg(*[longest(F.col(c)).alias(c) for c in _TEXTS])
-        parts.add(spark, f"{table}/picks", batch, picks, read, _fold_picks, _write)
-        parts.add(spark, f"{table}/terms", batch, first_seen_parts(cleaned, "Link", "SearchTerm"), read, _fold_terms, _write)
+        terms = first_seen_parts(cleaned, "Link", "SearchTerm")
+        parts.add(spark, f"{table}/picks", batch, picks, _reader(picks), _fold_picks, _write)
+        parts.add(spark, f"{table}/terms", batch, terms, _reader(terms), _fold_terms, _write)
 
     return (
         src.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from postloom.operators.merge import merge_by_link
 from postloom.plans.clean import clean_corpus
-from postloom.queries import views
+from postloom.queries import catalog, views
 from postloom.session import scratch_path
 from postloom.streaming import jobs, parts
 
@@ -71,6 +71,34 @@ def test_merge_over_many_batches(spark):
         parts.FAN = old
 
 
+def _found(spark, n):
+    """``n`` posts of a third as many links, dealt over 8 tasks."""
+    rows = [(i, f"run_{i % 4}.csv", f"t{i % 5} | t{i % 7}", f"title {i % 11}", "x" * (i % 13), None, f" l{i % (n // 3)} " if i % 10 else "") for i in range(n)]
+    return spark.createDataFrame(rows, "row_key bigint, source_file string, SearchTerm string, Title string, Description string, Qualifications string, Link string").repartition(8)
+
+
+@pytest.mark.parametrize("batch_bytes, batches", [(None, 3), (1, 24)])
+def test_batches_do_not_grow_with_the_files_of_the_writer(spark, monkeypatch, batch_bytes, batches):
+    posts = _found(spark, 600)
+    if batch_bytes:
+        monkeypatch.setattr(catalog, "_BATCH_BYTES", batch_bytes)
+    table = scratch_path(spark, "merged")
+    src = catalog._arrivals(spark, posts, "posts")
+    jobs.stream_merge(src, table, f"{table}/_progress").awaitTermination()
+    assert sum(parts.FAN**k for k, _ in parts.cover(parts.complete(spark, f"{table}/picks"))) == batches
+    assert sorted(map(tuple, jobs.read_merged(spark, table).collect())) == sorted(map(tuple, merge_by_link(posts).collect()))
+
+
+def test_merge_writes_no_batch_before_it_is_grouped(spark, monkeypatch):
+    def never(df):
+        raise AssertionError("a batch was checkpointed")
+
+    monkeypatch.setattr(jobs, "settle", never)
+    posts, table = _found(spark, 60), scratch_path(spark, "merged")
+    jobs.stream_merge(_stream(spark, posts, 2), table, f"{table}/_progress").awaitTermination()
+    assert sorted(map(tuple, jobs.read_merged(spark, table).collect())) == sorted(map(tuple, merge_by_link(posts).collect()))
+
+
 def test_clean_reads_the_folders_it_names(spark):
     posts = views.flat(spark, SF).where("row_key < 60").select("row_key", "Title", "Description")
     out = scratch_path(spark, "cleaned")
