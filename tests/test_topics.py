@@ -2,12 +2,17 @@
 
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from postloom.operators.topics import class_tfidf, gram_id, gram_ids, ngrams, topic_hierarchy, topic_similarity, topic_terms
+from postloom.operators import topics
+from postloom.operators.topics import (
+    class_tfidf, document_term_parts, document_terms, gram_counts, gram_id, gram_ids, ngrams, representative_docs, topic_hierarchy, topic_similarity, topic_terms, topic_tokens,
+)
+from postloom.session import settle, written
 from pyspark.sql import functions as F
 
 
@@ -90,3 +95,63 @@ def test_no_terms_have_no_weights(spark):
     weights = class_tfidf(topic_terms(docs))
     assert weights.count() == 0
     assert topic_similarity(weights).count() == 0
+
+
+ODD = [
+    (1, 0, "The Caf\u00e9 \u212aelvin \u0130stanbul x-ray's\x0b\u00a0tail a b2b  C3PO\tC3PO C3PO"),
+    (2, 0, "red\u2028blue RED, blue; red... blue\r\n\x1cgreen \x85 \u3000 z"),
+    (3, 1, None),
+    (4, 1, ""),
+    (5, None, "the the the and"),
+    (6, 1, " ".join(f"w{i % 7} blue" for i in range(50))),
+    (6, 1, " ".join(f"w{i % 7} blue" for i in range(50))),
+    (7, 2, "single"),
+]
+
+
+@pytest.mark.parametrize("n", [(1, 3), (2, 2), (1, 1), (1, 25)])
+def test_runs_counted_as_numbers_are_the_runs_of_the_tokens(spark, n):
+    docs = spark.createDataFrame(ODD, "doc_id int, topic int, text string").coalesce(1)
+    tokens = docs.select("doc_id", "topic", ngrams(topic_tokens(F.col("text"), ["the", "and"]), *n).alias("g"))
+    want = sorted(Counter((r.doc_id, r.topic, g) for r in tokens.collect() for g in r.g).items(), key=str)
+    for parts in (1, 3):
+        got = Counter()
+        for p in range(parts):
+            for r in gram_counts(docs, ["doc_id", "topic"], n, ["the", "and"], p, parts).collect():
+                got[(r.doc_id, r.topic, r.term)] += r.tf
+        assert sorted(got.items(), key=str) == want != []
+
+
+def test_terms_in_passes(spark, monkeypatch):
+    """Long texts are read in passes of which each has terms of its own, and nothing else changes."""
+    docs = spark.createDataFrame(ODD, "doc_id int, topic int, text string")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    whole = topic_terms(docs, max_df=1.0, stop_words=[])
+    weights = class_tfidf(whole)
+    best = rows(representative_docs(document_terms(docs, stop_words=[]), weights))
+    alike = lambda w: {(r.topic_a, r.topic_b): pytest.approx(r.similarity) for r in topic_similarity(w).collect()}
+    assert alike(class_tfidf(topic_terms(docs, max_df=1.0, stop_words=[], totals=True), totals=True)) == alike(weights) != {}
+    monkeypatch.setattr(topics, "PASS_CHARS", 100)
+    assert topics.passes(docs) == topics.MOST_PASSES
+    parts = topic_terms(docs, max_df=1.0, stop_words=[])
+    assert "hashpartitioning" not in parts._jdf.queryExecution().executedPlan().toString()
+    assert rows(parts) == rows(whole) != []
+    assert rows(class_tfidf(topic_terms(docs, max_df=1.0, stop_words=[], totals=True))) == rows(weights)
+    pieces = document_term_parts(docs, stop_words=[])
+    assert len(pieces) == topics.MOST_PASSES
+    assert rows(representative_docs(pieces, weights)) == best != []
+
+
+def test_shuffles_go_when_rows_are_written(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = files()
+    rows = written(spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 10).alias("g")).count(), "counts")
+    again = settle(rows.repartition(3, "g"))
+    for _ in range(50):  # they go in the background
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert rows.count() == again.count() == 10
