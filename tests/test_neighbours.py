@@ -107,3 +107,31 @@ def test_leaves_and_what_a_task_sends_stay_bounded(spark, monkeypatch):
     assert leaves.n == 16 and batch >= 100
     monkeypatch.setattr(neighbours, "LEAF_ROWS", 8)
     assert neighbours._plan(points(spark, x).withColumnRenamed("id", "rep"), 4)[0].n == 50
+
+
+def test_copies_travel_in_rounds(spark, monkeypatch):
+    """A round sends no more copies than a share of the points, and later rounds ask within what earlier ones found."""
+    x = np.random.default_rng(5).standard_normal((600, 6))
+    df = points(spark, x)
+    rows = lambda g: sorted(tuple(r) for r in g.collect())
+    asked, sent, real, met = [], [], neighbours._asked, neighbours._met
+    monkeypatch.setattr(neighbours, "_asked", lambda *a: (asked.append(real(*a)), asked[-1])[1])
+
+    def watch(queries, route, homes, fn, schema, batch_rows, leaves):
+        sent.append(sum(real(queries, route).get(leaf, 0) for leaf in leaves))
+        return met(queries, route, homes, fn, schema, batch_rows, leaves)
+
+    monkeypatch.setattr(neighbours, "_met", watch)
+    want = rows(neighbours.knn_graph(df, 4, leaf_rows=50))
+    cluster = rows(neighbours.density_cluster(df, 5, 3, 1.2, leaf_rows=50))
+    assert len(sent) <= 3  # one round each
+    sent.clear(), asked.clear()
+    monkeypatch.setattr(neighbours, "ROUND_SHARE", 1)
+    monkeypatch.setattr(neighbours, "ROUND_ROWS", 1)
+    assert rows(neighbours.knn_graph(df, 4, leaf_rows=50)) == want
+    assert len(sent) > 2 and max(sent) <= 600 and sum(sent) < sum(asked[0].values())
+    assert rows(neighbours.density_cluster(df, 5, 3, 1.2, leaf_rows=50)) == cluster
+    d = distances(x)
+    np.fill_diagonal(d, np.inf)
+    near = np.sort(d, axis=1)[:, :4]
+    assert np.allclose(near.ravel(), [r[3] for r in want])
